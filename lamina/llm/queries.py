@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, sharding, simhash, source_mix, url_filter
+from . import byte_bpe, line_dedup, sharding, simhash, source_mix, substring_dedup, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -26,6 +26,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_read(spark, sf_dir, "documents"), vocabularies.path(VOCABULARY), vocabularies.PATTERN)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.passage_dedup(_read(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.sha2("kept_text", 256), "words_sha256")
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op6_sharding, op7_simhash, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op5_substring_dedup, op6_sharding, op7_simhash, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
