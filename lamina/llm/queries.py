@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, sharding, simhash, source_mix, substring_dedup, url_filter
+from . import byte_bpe, language_id, line_dedup, sharding, simhash, source_mix, substring_dedup, url_filter
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_read(spark, sf_dir, "documents"), vocabularies.path(VOCABULARY), vocabularies.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, vocabularies.path(PIECES), where=~language_id.held_out(F.col("doc_id")))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.passage_dedup(_read(spark, sf_dir, "documents"))
     kept = F.coalesce(F.sha2("kept_text", 256), "words_sha256")
@@ -51,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op5_substring_dedup, op6_sharding, op7_simhash, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_language_id, op5_substring_dedup, op6_sharding, op7_simhash, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
