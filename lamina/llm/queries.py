@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_dedup, sharding, simhash, source_mix, substring_dedup, url_filter
+from . import ann, byte_bpe, exact_topk, language_id, line_dedup, sharding, simhash, source_mix, substring_dedup, url_filter
 
 VOCABULARY, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -20,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -50,6 +54,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(_read(spark, sf_dir, "documents")).drop("rate")
 
@@ -60,8 +68,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_language_id, op5_substring_dedup, op6_sharding, op7_simhash, op9_source_mixing, op10_line_dedup)}
+    made = (
+        op1_url_filter,
+        op2_exact_topk,
+        op3_byte_bpe,
+        op4_language_id,
+        op5_substring_dedup,
+        op6_sharding,
+        op7_simhash,
+        op8_ann,
+        op9_source_mixing,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle_sql(), "op9_source_mixing": source_mix.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {
+        "op1_url_filter": url_filter.oracle_sql(),
+        "op2_exact_topk": exact_topk.oracle_sql(),
+        "op9_source_mixing": source_mix.oracle_sql(),
+        "op10_line_dedup": line_dedup.oracle_sql(),
+    }
