@@ -99,8 +99,8 @@ def oracle_sql(k: int = K, every: int = EVERY, scale: int = SCALE) -> str:
     """The production query as one SQL statement over embeddings (every query against every row)."""
     return f"""
 with e as (
-  select vec_id, list_transform(embedding, x -> floor({scale} * x::double)) as v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, [floor({scale} * x::double) for x in embedding] as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
   from e q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {every} = 0)

@@ -67,12 +67,14 @@ def search(
         if not len(shard) or not len(block):
             found = (np.zeros(0, np.int64),) * 3
         else:
-            found = kernel(shard.column("id").to_numpy(), matrix(shard), block.column("id").to_numpy(), matrix(block))
+            found = kernel(shard.column("id").to_numpy(), matrix(shard), block.column("q_id").to_numpy(), matrix(block, "q_vector"))
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
 
     kind = {"bigint": pa.int64(), "double": pa.float64()}[score]
     columns = [*KEYS, "id", "vector"]
-    found = left.select(columns).groupBy(KEYS).cogroup(right.select(columns).groupBy(KEYS)).applyInArrow(cell, f"query_id bigint, vec_id bigint, score {score}")
+    right = right.select([F.col(c).alias(f"q_{c}") for c in columns])
+    cells = left.select(columns).groupBy(KEYS).cogroup(right.groupBy([f"q_{c}" for c in KEYS]))
+    found = cells.applyInArrow(cell, f"query_id bigint, vec_id bigint, score {score}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
