@@ -255,6 +255,13 @@ def _chunks(text: str) -> list[str]:
     return [first, *(" " + c for c in rest)]
 
 
+def _numbers(ids: pa.Array, n: pa.Array) -> pa.ListArray:
+    """Lists of ids from their decimal forms."""
+    flat = pc.split_pattern(ids.cast(pa.large_string()), " ").values
+    flat = flat.filter(pc.not_equal(flat, "")).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n.to_numpy()))).astype(np.int32)), flat)
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(Codec(read_ranks(path)), pattern)
@@ -267,9 +274,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
     ids. Repeated rows are encoded each; ids are those of the tiktoken library without special tokens. An
     empty table gives no rows.
     """
-    coded = _map(docs, path, pattern, doc_id, text, digests=False)
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return coded.withColumn("ids", ids)
+    return _map(docs, path, pattern, doc_id, text, digests=False)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,11 +294,11 @@ def _map(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, diges
                 if digests:
                     columns = {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
                 else:
-                    columns = {"row": part.column("row"), "ids": ids.cast(pa.string()), "n_tokens": n, "decoded": decoded.cast(pa.binary())}
+                    columns = {"row": part.column("row"), "ids": _numbers(ids, n), "n_tokens": n, "decoded": decoded.cast(pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     if digests:
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     rows = docs.select(F.struct("*").dropFields(text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, f"row {rows.schema['row'].dataType.simpleString()}, ids string, n_tokens bigint, decoded binary")
+    return rows.mapInArrow(encode, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_tokens bigint, decoded binary")

@@ -240,18 +240,29 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     to 1. Ties go to the language that sorts first. Repeated rows are judged each; an empty table gives
     no rows. The model is bounded: pieces of the vocabulary times languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.probability))
+    return _judged(docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).alias("row")), model).select("row.doc_id", "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a score of least or more."""
+    kept = _judged(docs.select(F.struct(*[F.col(f"`{c}`").alias("text" if c == text else c) for c in docs.columns]).alias("row")), model)
+    kept = kept.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col("row").getField("text" if c == text else c).alias(c) for c in docs.columns])
+
+
+def _judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.probability))
     path = model.path
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(LanguageModel(*shared.value, path))
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            whole = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field("text")], ["row", "text"])
+            for part in slices(whole, "text", SLICE_BYTES):
                 found, score = scorer.predict(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
