@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectors
+from lamina.operators import blocks as vectors
 
 K, EVERY, SEED = 20, 20, 7
 #: Chosen for vectors without any structure, the hardest case: see the README for recall and rows visited.
@@ -127,7 +127,7 @@ def nearest(
     """Return query_id, rank, vec_id, score: the k nearest rows found for each query.
 
     Nearness is the inner product in double precision. Queries are the rows whose id is divisible by
-    every; all rows but a query's own may be found; ties go to the smaller id. See valid_vectors for the rows that take
+    every; all rows but a query's own may be found; ties go to the smaller id. See blocks.valid_vectors for the rows that take
     no part (zero vectors don't) and for repeated ids. Where the buckets visited hold fewer than k rows
     of a shard, all its rows are scored, so fewer than k come back only if there are no more. An empty
     table gives no rows. Every row is indexed. width is in units of the greatest norm.

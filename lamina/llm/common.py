@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.session import materialize, shared_dir  # noqa: F401  the operators' one door to storage
+
 #: Stands for a null id inside joins; null ids sort after every other id.
 NO_ID = 2**63 - 1
 
@@ -22,23 +22,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lamina-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the strings of a cut are about max_bytes; one row at least."""
     col = batch.column(column).cast(pa.large_binary()).fill_null(b"")

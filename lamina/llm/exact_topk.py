@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectors
+from lamina.operators import blocks as vectors
 
 K, SCALE, EVERY = 5, 256, 50
 LEVELS = 24
@@ -78,7 +78,7 @@ def exact_topk(
     """Return query_id, rank, vec_id, score: the k rows of greatest inner product for each query.
 
     Components x count as floor(scale * x). Queries are the rows whose id is divisible by every; all rows but
-    a query's own are candidates; ties go to the smaller id. See valid_vectors for the rows that take no part
+    a query's own are candidates; ties go to the smaller id. See blocks.valid_vectors for the rows that take no part
     and for repeated ids; only vectors of a query's width are its candidates. Fewer than k candidates
     are all returned; without any a query has no rows; so has an empty table. Other columns are not read.
     Scaled components must be less than 2^20 in absolute value.
