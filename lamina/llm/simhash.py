@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.components import components
+
 from .common import materialize
-from .components import components
 
 BITS = 64
 RADIUS = 4
