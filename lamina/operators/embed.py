@@ -63,7 +63,7 @@ def epoch(edges: DataFrame, layout: DataFrame, n: int, alpha: float, gamma: floa
         drawn = drawn.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("draws") - 1))).join(F.broadcast(count))
         drawn = drawn.select("i", draw(F.col("i"), F.col("j"), F.col("p"), F.col("vertices")).alias("number")).join(numbered.withColumnRenamed("id", "j"), "number")
         pushed = drawn.join(here, "i").join(there, "j").withColumn("d2", gap).filter("d2 > 0.01")
-        push = gamma * 4.0 / ((1.0 + 0.25 * F.col("d2")) * F.col("d2"))
+        push = gamma * 4.0 / ((1.0 + 0.25 * F.col("d2")) * F.greatest("d2", F.lit(0.01)))  # may be evaluated before the filter
         moves = moves.unionByName(pushed.select(F.col("i").alias("id"), F.zip_with("a", "b", lambda x, y: alpha * V.clip(push * (x - y), -4.0, 4.0)).alias("m")))
     return as_vectors(moves.select("id", F.posexplode("m").alias("pos", "value")).groupBy("id", "pos").agg(F.sum("value").alias("value")))
 

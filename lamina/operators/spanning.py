@@ -61,7 +61,7 @@ def _on_one(cored: DataFrame) -> DataFrame:
         one, two = ids[edges[:, 0].astype(int)], ids[edges[:, 1].astype(int)]
         return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "w": edges[:, 2]})
 
-    return cored.groupBy(F.lit(0)).applyInPandas(grow, "a bigint, b bigint, w double")
+    return cored.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(grow, "a bigint, b bigint, w double")
 
 
 def nearest_outside(rows: DataFrame) -> DataFrame:
