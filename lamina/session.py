@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,3 +28,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lamina-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that nothing refers to any more. It does so when the driver collects
+    garbage, which a driver with little to do puts off; called after a large stage has been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
