@@ -36,6 +36,8 @@ SMOOTHING = 0.1
 #: Longer words are scored in parts of so many characters.
 WORD_CHARS = 40
 KEPT_WORDS, SLICE_BYTES = 400_000, 4 << 20
+#: Words whose matches are held at once.
+BATCH_WORDS = 20_000
 UNKNOWN = "und"
 #: Prediction needs a letter of any script.
 LETTER = r"\p{L}"
@@ -60,7 +62,7 @@ class Pieces:
         """Of words laid end to end: start, end and piece of every match, and where each word begins."""
         text = "".join(words)
         begins = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
-        found = np.array([e << 32 | v for e, v in self.automaton.iter(text)], np.int64).reshape(-1)
+        found = np.fromiter((e << 32 | v for e, v in self.automaton.iter(text)), np.int64)
         ends = (found >> 32) + 1
         pieces, starts = (found & 0xFFFFFFFF) >> 8, ends - (found & 0xFF)
         word = np.searchsorted(begins, starts, side="right")
@@ -160,13 +162,16 @@ class Scorer:
         if len(self.kept) + len(missing) > KEPT_WORDS:
             self.kept, self.values, missing = {}, self.values[:0], words
         if missing:
-            parts = [_parts(w) for w in missing]
-            scores = forward(self.pieces, [p for ps in parts for p in ps], self.model.probability)
-            heads = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
             self.kept.update(zip(missing, range(len(self.values), len(self.values) + len(missing))))
-            self.values = np.concatenate((self.values, np.add.reduceat(scores, heads, axis=0)))
+            made = [self._scored(missing[a : a + BATCH_WORDS]) for a in range(0, len(missing), BATCH_WORDS)]
+            self.values = np.concatenate((self.values, *made))
         return self.values[np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))]
 
+    def _scored(self, words: list[str]) -> np.ndarray:
+        parts = [_parts(w) for w in words]
+        scores = forward(self.pieces, [p for ps in parts for p in ps], self.model.probability)
+        return np.add.reduceat(scores, np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])), axis=0)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its share of the probability."""
         n, languages = len(texts), self.model.languages
