@@ -10,7 +10,8 @@ so windows that are equal have equal anchors, and a text has few. The steps:
 4. automata: passages are dealt to shards of bounded size. A shard's Aho-Corasick automaton holds the
    passages cut into tiles of TILE words, at multiples of TILE: any window of a passage contains a whole
    tile. Documents are streamed through the automata of the shards that they share an anchor with; a
-   tile found gives an alignment, and agreement of WINDOW words or more along it is an occurrence.
+   tile found points to the windows around it, which are compared word by word with those of the passages.
+   Of a document only the windows go to a shard whose anchors its passages have.
 5. words covered by occurrences outside the owner go.
 
 Windows and anchors meet as hashes, but what is removed has been compared word by word. Copies of a
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import release
+
 from .common import NO_ID, materialize, slices
 
 WINDOW, TILE = 50, 25
 #: Words of the passages of one automaton, words of the documents streamed through it by one task,
 #: words of one passage (longer ones are cut with overlap).
-SHARD_WORDS, CHUNK_WORDS, PASSAGE_WORDS = 50_000, 100_000, 2_000
+SHARD_WORDS, CHUNK_WORDS, PASSAGE_WORDS = 50_000, 500_000, 2_000
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -190,59 +193,84 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton over words: finds where a text repeats WINDOW words or more of its passages."""
+    """Aho-Corasick automaton over words: finds which windows of a text its passages have.
+
+    The automaton finds tiles; the windows around a tile are then looked up among the passages' windows, as
+    they are. Each window of a text is looked up once, however often tiles repeat.
+    """
 
     def __init__(self, passages: list[tuple[int, list[bytes]]]):
         self.ids: dict[bytes, int] = {}
-        self.owners = [owner for owner, _ in passages]
-        self.words = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64) for _, words in passages]
-        tiles: dict[tuple, list[tuple[int, int]]] = {}
-        for i, words in enumerate(self.words):
-            words = words.tolist()
-            for start in range(0, len(words) - TILE + 1, TILE):
-                tiles.setdefault(tuple(words[start : start + TILE]), []).append((i, start))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for tile, places in tiles.items():
-            self.automaton.add_word(tile, places)
-        if tiles:
+        self.owner: dict[bytes, int] = {}
+        self.owners = {owner for owner, _ in passages}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for owner, words in passages:
+            ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+            for start in range(0, len(ids) - TILE + 1, TILE):
+                self.automaton.add_word(tuple(ids[start : start + TILE]))
+            held = np.array(ids, np.int32).tobytes()
+            for start in range(0, 4 * (len(ids) - WINDOW + 1), 4):
+                self.owner[held[start : start + 4 * WINDOW]] = owner
+        if self.owner:
             self.automaton.make_automaton()
-        self.empty = not tiles
 
     def covered(self, doc: int, text: list[bytes]) -> np.ndarray:
         """Which words of the text lie in a window of a passage that another document owns."""
-        cover = np.zeros(len(text), bool)
-        if self.empty:
-            return cover
+        n = len(text)
+        edges = np.zeros(n + 1, np.int64)
+        if n < WINDOW or not self.owner:
+            return edges[:n] > 0
         ids = [self.ids.get(w, 0) for w in text]
-        words, seen = np.array(ids, np.int64), set()
-        for end, places in self.automaton.iter(tuple(ids)):
-            begin = end - TILE + 1
-            for i, start in places:
-                shift = begin - start  # place in the text of the passage's first word
-                if self.owners[i] == doc or (i, shift) in seen:
-                    continue
-                if cover[max(0, end - WINDOW + 1) : begin + WINDOW].all():
-                    break  # all windows around this tile are covered
-                seen.add((i, shift))
-                low, high = max(0, shift), min(len(words), shift + len(self.words[i]))
-                differ = np.flatnonzero(words[low:high] != self.words[i][low - shift : high - shift]) + low
-                edges = np.concatenate(([low - 1], differ, [high]))
-                for k in np.flatnonzero(np.diff(edges) > WINDOW):
-                    cover[edges[k] + 1 : edges[k + 1]] = True
-        return cover
-
-
-def _locate(docs: pa.Table, passages: pa.Table) -> pa.Table:
-    """Spans of covered words of each document of a task."""
+        ends = np.array([end for end, _ in self.automaton.iter(tuple(ids))], np.int64)
+        # a window of a passage has a tile that begins TILE words after its start at most
+        near = np.zeros(n + 2, np.int64)
+        np.add.at(near, np.maximum(ends + 1 - 2 * TILE, 0), 1)
+        np.add.at(near, ends + 2 - TILE, -1)
+        starts = np.flatnonzero(np.cumsum(near)[: n - WINDOW + 1])
+        held, owner = np.array(ids, np.int32).tobytes(), self.owner
+        found = np.array([(o := owner.get(held[4 * s : 4 * (s + WINDOW)])) is not None and o != doc for s in starts.tolist()], bool)
+        found = starts[found] if len(starts) else starts
+        np.add.at(edges, found, 1)
+        np.add.at(edges, found + WINDOW, -1)
+        return np.cumsum(edges)[:n] > 0
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each candidate and shard the runs of windows with an anchor of the shard."""
+    for batch in batches:
+        rows = {"shard": [], "doc": [], "mark": [], "start": [], "size": [], "phrase": []}
+        for doc, text, doors in zip(batch.column("doc").to_pylist(), _bytes(batch.column("text")), batch.column("doors")):
+            words, cut, mark = Words([text]), text.split(), _marks([text])[0]
+            shards = doors.values.field("shard").to_numpy()
+            anchors = doors.values.field("anchor").to_numpy().view(np.uint64)
+            for shard in np.unique(shards):
+                starts = np.flatnonzero(np.isin(words.anchors, anchors[shards == shard]))
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > WINDOW) + 1):
+                    if len(run):
+                        first, last = int(run[0]), int(run[-1]) + WINDOW
+                        for column, value in zip(rows, (shard, doc, mark, first, last - first, b" ".join(cut[first:last]))):
+                            rows[column].append(value)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
+
+
+def _locate(segments: pa.Table, passages: pa.Table) -> pa.Table:
+    """Spans of covered words of each segment of a task."""
     automaton = PhraseAutomaton([(o, p.split()) for o, p in zip(passages.column("owner").to_pylist(), passages.column("phrase").to_pylist())])
+    owners, known = automaton.owners, {}
     rows = {"doc": [], "mark": [], "spans": []}
-    for doc, text in zip(docs.column("doc").to_pylist(), _bytes(docs.column("text").combine_chunks())):
-        cover = automaton.covered(doc, text.split())
-        if cover.any():
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], cover.view(np.int8), [0]))))
+    for doc, mark, start, phrase in zip(*(segments.column(c).to_pylist() for c in ("doc", "mark", "start", "phrase"))):
+        # segments that copy each other are looked up once; only for an owner the answer is its own
+        edges = known.get(phrase) if doc not in owners else None
+        if edges is None:
+            cover = automaton.covered(doc, phrase.split())
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], cover.view(np.int8), [0])))).reshape(-1, 2).tolist()
+            if doc not in owners:
+                known[phrase] = edges
+        if edges:
             rows["doc"].append(doc)
-            rows["mark"].append(_marks([text])[0])
-            rows["spans"].append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
+            rows["mark"].append(mark)
+            rows["spans"].append([{"start": start + a, "end": start + b} for a, b in edges])
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     return pa.table(rows, pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("spans", pa.list_(span))]))
 
@@ -288,26 +316,32 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     originals = first.select(F.xxhash64("digest").alias("content"), F.col("first").alias("doc"))
     hits = hits.join(originals, ["doc", "content"]).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     candidates = materialize(rows.join(hits, "doc"), "candidates")
+    release(docs.sparkSession)
 
     windows = candidates.mapInArrow(_recurring_windows, "w1 bigint, w2 bigint, doc bigint, at bigint")
     owned = windows.groupBy("w1", "w2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("at", "doc").alias("at"))
     owned = owned.filter("owner < last").groupBy(F.col("owner").alias("doc")).agg(F.collect_list("at").alias("at"))
     passages = candidates.join(owned, "doc").select("doc", "text", "at").mapInArrow(_passages, "owner bigint, phrase binary, size bigint, anchors array<bigint>")
     passages = materialize(passages, "passages")
+    release(docs.sparkSession)
 
     total = passages.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     sharded = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
     doors = sharded.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    routes = candidates.select("doc", F.explode("anchors").alias("anchor")).join(doors, "anchor").select("doc", "shard").distinct()
-    routed = routes.join(candidates.select("doc", "text"), "doc")
-    routed = materialize(routed.withColumn("size", F.length("text") / 6), "routed")
+    routes = candidates.select("doc", F.explode("anchors").alias("anchor")).join(doors, "anchor")
+    routes = routes.groupBy("doc").agg(F.collect_set(F.struct("anchor", "shard")).alias("doors"))
+    routed = candidates.select("doc", "text").join(routes, "doc")
+    segments = materialize(
+        routed.mapInArrow(_segments, "shard int, doc bigint, mark bigint, start int, size bigint, phrase binary"), "segments"
+    )
+    release(docs.sparkSession)
     # One row a shard: enough tasks for what is streamed through it, however common its passages are.
-    loads = routed.groupBy("shard").agg(F.ceil(F.sum("size") / CHUNK_WORDS).cast("int").alias("chunks"))
-    split = routed.join(F.broadcast(loads), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.greatest("chunks", F.lit(1))).cast("int"))
-    copied = sharded.join(F.broadcast(loads), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1)))
+    loads = segments.groupBy("shard").agg(F.ceil(F.sum("size") / CHUNK_WORDS).cast("int").alias("chunks"))
+    split = segments.join(F.broadcast(loads), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc", "start"), "chunks").cast("int"))
+    copied = sharded.join(F.broadcast(loads), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spans = (
-        split.select("shard", "chunk", "doc", "text")
+        split.select("shard", "chunk", "doc", "mark", "start", "phrase")
         .groupBy("shard", "chunk")
         .cogroup(copied.select("shard", "chunk", "owner", "phrase").groupBy("shard", "chunk"))
         .applyInArrow(_locate, "doc bigint, mark bigint, spans array<struct<start:int,end:int>>")
