@@ -7,8 +7,6 @@ component, each component takes its least such edge, and components along these
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
