@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lamina.session import materialize, shared_dir  # noqa: F401  the operators' one door to storage
+from lamina.session import materialize  # noqa: F401  the operators take it from here
 
 #: Stands for a null id inside joins; null ids sort after every other id.
 NO_ID = 2**63 - 1
