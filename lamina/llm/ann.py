@@ -23,8 +23,6 @@ from lamina.operators import blocks as vectors
 K, EVERY, SEED = 20, 20, 7
 #: Chosen for vectors without any structure, the hardest case: see the README for recall and rows visited.
 TABLES, HASHES, PROBES, WIDTH = 4, 4, 80, 1.3
-#: A query visits buckets of a shard until they hold so many entries (of all tables together), or all probes.
-ENTRIES = 8_000
 
 
 @lru_cache(maxsize=4)
@@ -49,10 +47,10 @@ def probe_sets(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class MultiprobeIndex:
-    def __init__(self, ids, rows, norm, tables=TABLES, hashes=HASHES, probes=PROBES, width=WIDTH, seed=SEED, entries=ENTRIES):
+    def __init__(self, ids, rows, norm, tables=TABLES, hashes=HASHES, probes=PROBES, width=WIDTH, seed=SEED):
         self.ids, self.rows, self.norm = ids, rows, norm
         self.near = rows.astype(np.float32)
-        self.tables, self.hashes, self.width, self.entries = tables, hashes, width * norm, entries
+        self.tables, self.hashes, self.width = tables, hashes, width * norm
         rng = np.random.default_rng(seed)
         self.lines = rng.standard_normal((rows.shape[1] + 1, tables * hashes))
         self.shift = rng.random(tables * hashes) * self.width
@@ -82,13 +80,11 @@ class MultiprobeIndex:
             return self._key(cells)[:, :, None] + step @ self.moves.T
 
     def candidates(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the vectors in one query's buckets."""
+        """Places of the vectors in all of one query's buckets, however many they hold."""
         first, last = (np.stack([np.searchsorted(self.sorted[t], keys[t], side=s) for t in range(self.tables)]) for s in ("left", "right"))
-        held = (last - first).sum(axis=0).cumsum()
-        rounds = int(np.searchsorted(held, self.entries)) + 1
         hit = np.zeros(len(self.ids), bool)
         for t in range(self.tables):
-            for a, b in zip(first[t, :rounds].tolist(), last[t, :rounds].tolist()):
+            for a, b in zip(first[t].tolist(), last[t].tolist()):
                 if a < b:
                     hit[self.order[t][a:b]] = True
         return np.flatnonzero(hit)
@@ -122,7 +118,6 @@ def nearest(
     probes: int = PROBES,
     width: float = WIDTH,
     seed: int = SEED,
-    entries: int = ENTRIES,
 ) -> DataFrame:
     """Return query_id, rank, vec_id, score: the k nearest rows found for each query.
 
@@ -136,6 +131,6 @@ def nearest(
     norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
 
     def kernel(ids, matrix, query_ids, queries):
-        return MultiprobeIndex(ids, matrix, norm, tables, hashes, probes, width, seed, entries).search(query_ids, queries, k)
+        return MultiprobeIndex(ids, matrix, norm, tables, hashes, probes, width, seed).search(query_ids, queries, k)
 
     return vectors.search(rows, rows.filter(F.col("id") % every == 0), kernel, k, "double")

@@ -236,6 +236,20 @@ def test_recall_on_the_table(spark, sf_dir):
     assert hits / len(found) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0, 0.3, 1])
+def test_recall_on_a_full_shard(spread):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((ann.vectors.SHARD_ROWS, 64))
+    x *= (np.exp(spread * rng.standard_normal(len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    ids = np.arange(len(x))
+    asked = ids[::80]
+    q, i, _ = ann.MultiprobeIndex(ids, x, np.linalg.norm(x, axis=1).max()).search(asked, x[asked], 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    wanted = {(a, b) for a, row in zip(asked.tolist(), np.argsort(-scores, axis=1)[:, :20].tolist()) for b in row}
+    assert len(wanted & set(zip(q.tolist(), i.tolist()))) / len(wanted) >= 0.98
+
+
 def test_probes_come_in_order_of_estimated_success():
     m = 4
     expected = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
