@@ -10,7 +10,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import byte_bpe, language_id, line_dedup, simhash, source_mix
+from lamina.llm import byte_bpe, language_id, line_dedup, near_texts, source_mix
 from lamina.llm.common import materialize
 
 
@@ -29,8 +29,8 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def texts_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: shared 5-word shingles, similarity 0.8 or more."""
+    return near_texts.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
