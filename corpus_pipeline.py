@@ -11,38 +11,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import byte_bpe, language_id, line_dedup, near_texts, source_mix
-from lamina.llm.common import materialize
+from lamina.llm.common import materialize, named, unused
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those of none, such as texts without a letter, go."""
+    """Documents whose language is identified; those of none, such as null texts and those without a letter, go.
+
+    The model learns from the rows that have a language. Repeated rows are judged each; an empty table gives no rows.
+    """
     model = language_id.fit(docs, vocabularies.path("piece_bpe_32k.model"), where=~language_id.held_out(F.col("doc_id")))
     return language_id.accepted(docs, model)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a document of smaller id holds; n_chars follows the text."""
+    """Documents without the lines that a document of smaller id holds; n_chars follows a text that has lost lines.
+
+    No document goes. Null texts become empty ones; rows that repeat an id are one document, as are those of null id.
+    """
     found = line_dedup.dedup_lines(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars"))
-    new = {"text": F.col("kept_text"), "n_chars": chars}
-    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    chars = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("row").getField("n_chars"))
+    new = {"text": lambda: F.col("kept_text"), "n_chars": lambda: chars}
+    return found.select(*[new.get(c, lambda c=c: F.col("row").getField(c))().alias(c) for c in docs.columns])
 
 
 def texts_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shared 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: sets of 5-word shingles of similarity 0.8 or more, found by SimHash.
+
+    Of a group the smallest id stays, of rows that repeat it and its text one. Null and wordless texts are a group; rows
+    of null id stay.
+    """
     return near_texts.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, shuffled."""
-    return source_mix.mix_sources(docs).select(docs.columns)
+    """Documents repeated to the target weights of their sources, shuffled.
+
+    Rows of a source without a target, or of none, are drawn with a mean of one. Rows that repeat an id are drawn alike.
+    """
+    names = tuple(unused(docs, n) for n in ("rate", "copy", "shuffle_key"))
+    return source_mix.mix_sources(docs, names=names).select(*map(named, docs.columns))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of what they decode to."""
-    coded = byte_bpe.encode_documents(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
-    kept = [c for c in docs.columns if c != "text"]
-    return coded.select(*[F.col("row").getField(c).alias(c) for c in kept], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of every document, and the digest of what they decode to, instead of the text.
+
+    Columns of docs pass, but for those of the names n_tokens, ids and decoded_sha256, which the results take.
+    """
+    made = ("n_tokens", "ids", "decoded_sha256")
+    coded = byte_bpe.encode_documents(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, outputs=made)
+    kept = [c for c in docs.columns if c != "text" and c.lower() not in made]
+    return coded.select(*[F.col("row").getField(c).alias(c) for c in kept], *made)
 
 
 STAGES = [

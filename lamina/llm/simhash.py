@@ -15,6 +15,7 @@ star only and the work is linear in the nodes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.components import components
 
-from .common import materialize
+from .common import keep_first, materialize, named
 
 BITS = 64
 RADIUS = 4
@@ -61,10 +62,10 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
-def _flips(up_to: int) -> list[int]:
-    """All 64-bit numbers with at most so many bits set, signed."""
-    found = [sum(1 << i for i in c) for k in range(up_to + 1) for c in combinations(range(BITS), k)]
-    return [x - 2**64 if x >= 2**63 else x for x in found]
+def _flips(up_to: int) -> list[list[int]]:
+    """By the number of bits set, up to up_to: all such 64-bit numbers, signed."""
+    found = [[sum(1 << i for i in c) for c in combinations(range(BITS), k)] for k in range(up_to + 1)]
+    return [[x - 2**64 if x >= 2**63 else x for x in some] for some in found]
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
@@ -93,13 +94,37 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket_pairs: int = BUCKE
 
 
 def _midpoint_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Stars through midpoints: linear in nodes, exact for even radii."""
-    if radius % 2:
-        raise ValueError("an even radius is needed for large buckets")
-    flips = F.array(*map(F.lit, _flips(radius // 2)))
-    reach = nodes.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("middle"))
-    stars = reach.groupBy("middle").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("middle", "a")
-    return reach.join(stars, "middle").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    """Stars through midpoints: linear in nodes, exact for every radius.
+
+    Two fingerprints are within the radius exactly if a value lies within radius // 2 bits of one and within the rest of
+    the radius of the other. Of those within the lesser reach of a value one is the centre, to which all others in reach are tied.
+    """
+    inner, outer = radius // 2, radius - radius // 2
+    steps = [F.array(*map(F.lit, some)) for some in _flips(outer)]
+    reach = [nodes.select("fp", F.explode(F.transform(some, lambda x: x.bitwiseXOR(F.col("fp")))).alias("middle"), F.lit(k <= inner).alias("near")) for k, some in enumerate(steps)]
+    reach = reduce(DataFrame.unionByName, reach)
+    stars = reach.groupBy("middle").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("centre"), F.count("*").alias("n")).filter("n > 1 and centre is not null")
+    met = reach.join(stars.select("middle", "centre"), "middle").filter("fp <> centre")
+    return met.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, radius: int, shingle: int, bucket_pairs: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp and component_id of every row."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
+
+    rows = docs.select(named(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
+    rows = materialize(rows.mapInArrow(made, "doc_id bigint, mark bigint, fp bigint"), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(near_links(nodes, radius, bucket_pairs))
+    groups = materialize(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "fp_groups")
+    least = materialize(groups.groupBy("group").agg(F.min("least").alias("component_id")), "fp_least")
+    # Written tables on both sides: Spark may split the join where many rows share a fingerprint or a group.
+    named_groups = materialize(groups.join(least, "group").select("fp", "component_id"), "fp_components")
+    return rows.join(named_groups, "fp").select("doc_id", "mark", "fp", "component_id")
 
 
 def near_duplicates(
@@ -109,29 +134,19 @@ def near_duplicates(
 
     component_id is the smallest doc_id that links of at most radius differing bits reach, the own one
     included. Null and wordless texts have fp 0 and link like any other; texts shorter than a shingle
-    hash as a whole. Rows with a null id take part and get the component's id, null if it has no
-    other. Repeated rows are linked. An empty table gives no rows; other columns are not read.
+    hash as a whole, texts of any length are hashed whole. Rows with a null id take part and get the component's id, null
+    if it has no other. Repeated rows are linked. An empty table gives no rows; other columns are not read, whatever their names.
     """
+    return _grouped(docs, radius, shingle, bucket_pairs, doc_id, text).select("doc_id", "fp", "component_id")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(rows.mapInArrow(made, "doc_id bigint, fp bigint"), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(near_links(nodes, radius, bucket_pairs))
-    groups = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    named = groups.join(groups.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the near duplicates: of each component the row of the smallest doc_id stays.
+def keep_one(
+    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket_pairs: int = BUCKET_PAIRS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """docs without the near duplicates: of each component the row of the smallest doc_id stays, then of the least fingerprint and text.
 
-    Of rows that repeat that id one stays. Rows of null id stay, as nothing names their component.
+    Of rows that repeat that id and text one stays. Rows of null id stay, as nothing names their component. An empty table
+    gives no rows. Columns may have any names; all are returned.
     """
-    first = near_duplicates(docs, doc_id=doc_id, text=text, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col(doc_id) == F.col("kept_id"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    rows = _grouped(docs, radius, shingle, bucket_pairs, doc_id, text).filter("doc_id is not null")
+    return keep_first(docs, rows.select(F.col("doc_id").alias("doc"), "mark", F.col("fp").alias("node"), F.col("component_id").alias("group")), doc_id, text)

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lamina.session import release
 
-from .common import NO_ID, materialize, slices
+from .common import NO_ID, materialize, named, slices
+from .words import ODD, phrases, word_hashes
 
 WINDOW, TILE = 50, 25
 #: Words of the passages of one automaton, words of the documents streamed through it by one task,
@@ -40,36 +41,6 @@ WINDOW, TILE = 50, 25
 SHARD_WORDS, CHUNK_WORDS, PASSAGE_WORDS = 50_000, 500_000, 2_000
 SLICE_BYTES = 1 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_BYTE[_BLANK] = 0
-_ODD = _rng.integers(0, 2**63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _phrases(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
-    """Hash of each phrase of so many words."""
-    n = len(words)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 2**64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(base, n), dtype=np.uint64)))
-    return _mix((sums[length:] - sums[:-length]) * _powers(inverse, n - length + 1))
-
-
 def _sliding(x: np.ndarray, length: int, best: np.ufunc) -> np.ndarray:
     """Least or greatest of each so many neighbours."""
     have, out = 1, x
@@ -83,26 +54,12 @@ class Words:
 
     def __init__(self, texts: list[bytes], window: int = WINDOW, tile: int = TILE):
         self.window, self.tile = window, tile
-        joined = b"\n".join(texts) + b"\n"
-        data = np.frombuffer(joined, np.uint8)
-        blank = _BLANK[data]
-        starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        #: words before each text
-        self.offsets = np.concatenate(([0], np.searchsorted(starts, np.cumsum(lengths))))
-        if len(starts):
-            spread = np.diff(np.append(starts, len(data)))
-            place = np.arange(starts[0], len(data)) - np.repeat(starts, spread)
-            # blanks after a word count nothing, wherever they are
-            np.minimum(place, int(np.diff(np.flatnonzero(np.concatenate(([True], blank)))).max()), out=place)
-            values = _BYTE[data[starts[0] :]] * _powers(_ODD[0], int(place.max()) + 1)[place]
-            self.hashes = _mix(np.add.reduceat(values, starts - starts[0]))
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        #: hashes, and the words before each text
+        self.hashes, self.offsets = word_hashes(texts)
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
         n = len(self.hashes)
         if n >= window:
-            self.tiles = np.maximum(_phrases(self.hashes, tile, _ODD[1]), np.uint64(1))
+            self.tiles = np.maximum(phrases(self.hashes, tile, ODD[1]), np.uint64(1))
             self.whole = self.text_of[: n - window + 1] == self.text_of[window - 1 :]
             #: of each window; 0 for windows that reach into the next text
             self.anchors = np.where(self.whole, _sliding(self.tiles, window - tile + 1, np.minimum), np.uint64(0))
@@ -111,7 +68,7 @@ class Words:
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the windows that begin at these words."""
-        return tuple(_phrases(self.hashes, self.window, base)[at].view(np.int64) for base in _ODD[1:])
+        return tuple(phrases(self.hashes, self.window, base)[at].view(np.int64) for base in ODD[1:])
 
     def anchors_of(self, i: int) -> np.ndarray:
         a, b = self.offsets[i], self.offsets[i + 1]
@@ -128,6 +85,11 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "text", SLICE_BYTES)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
@@ -170,7 +132,7 @@ def _recurring_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of owned recurring windows of each owner, cut to PASSAGE_WORDS."""
-    for batch in batches:
+    for batch in _parts(batches):
         owners, phrases, sizes, anchors = [], [], [], []
         for doc, text, at in zip(batch.column("doc").to_pylist(), _bytes(batch.column("text")), batch.column("at").to_pylist()):
             mark = _marks([text])[0]
@@ -237,7 +199,7 @@ class PhraseAutomaton:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each candidate and shard the runs of windows with an anchor of the shard."""
-    for batch in batches:
+    for batch in _parts(batches):
         rows = {"shard": [], "doc": [], "mark": [], "start": [], "size": [], "phrase": []}
         for doc, text, doors in zip(batch.column("doc").to_pylist(), _bytes(batch.column("text")), batch.column("doors")):
             words, cut, mark = Words([text]), text.split(), _marks([text])[0]
@@ -277,7 +239,7 @@ def _locate(segments: pa.Table, passages: pa.Table) -> pa.Table:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each candidate with spans."""
-    for batch in batches:
+    for batch in _parts(batches):
         texts = _bytes(batch.column("text"))
         removed, kept = [], []
         for text, spans in zip(texts, batch.column("spans").to_pylist()):
@@ -299,19 +261,21 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     document of smaller doc_id is removed; windows are those of the input. kept_text joins the words
     left by one blank; it is null where nothing is removed, and words_sha256 is the digest of all words
     joined so. Null texts and texts of fewer than WINDOW words lose nothing. Rows that repeat an
-    id never remove from each other; rows of null id come after all others. An empty table gives no
-    rows; other columns are not read.
+    id never remove from each other; rows of null id come after all others. Texts of any length are taken whole. An empty
+    table gives no rows; other columns are not read, whatever their names.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(named(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), named(text).alias("text"))
     digested = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     sketch = materialize(
         digested.mapInArrow(_sketch, "doc bigint, digest binary, mark bigint, n_words bigint, words_sha256 string, anchors array<bigint>"), "sketch"
     )
-    first = sketch.groupBy("digest").agg(F.min("doc").alias("first"))
+    # Tables that a join meets on a key which many rows share are written, so that Spark may split or broadcast it.
+    first = materialize(sketch.groupBy("digest").agg(F.min("doc").alias("first")), "first")
 
     # Anchors that different texts share, of the first copy of each text.
     anchors = sketch.select("doc", F.xxhash64("digest").alias("content"), F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a < b").select("anchor")
+    shared = materialize(shared, "shared_anchors")
     hits = anchors.join(shared, "anchor").groupBy("doc", "content").agg(F.collect_set("anchor").alias("anchors"))
     originals = first.select(F.xxhash64("digest").alias("content"), F.col("first").alias("doc"))
     hits = hits.join(originals, ["doc", "content"]).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
@@ -327,8 +291,9 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     total = passages.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    sharded = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
-    doors = sharded.select("shard", F.explode("anchors").alias("anchor")).distinct()
+    # passages are dealt one by one, however many an owner has
+    sharded = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "phrase"), F.lit(shards)).cast("int"))
+    doors = materialize(sharded.select("shard", F.explode("anchors").alias("anchor")).distinct(), "doors")
     routes = candidates.select("doc", F.explode("anchors").alias("anchor")).join(doors, "anchor")
     routes = routes.groupBy("doc").agg(F.collect_set(F.struct("anchor", "shard")).alias("doors"))
     routed = candidates.select("doc", "text").join(routes, "doc")
@@ -337,9 +302,9 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
     release(docs.sparkSession)
     # One row a shard: enough tasks for what is streamed through it, however common its passages are.
-    loads = segments.groupBy("shard").agg(F.ceil(F.sum("size") / CHUNK_WORDS).cast("int").alias("chunks"))
-    split = segments.join(F.broadcast(loads), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc", "start"), "chunks").cast("int"))
-    copied = sharded.join(F.broadcast(loads), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    loads = materialize(segments.groupBy("shard").agg(F.ceil(F.sum("size") / CHUNK_WORDS).cast("int").alias("chunks")), "loads")
+    split = segments.join(loads, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc", "start"), "chunks").cast("int"))
+    copied = sharded.join(loads, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spans = (
         split.select("shard", "chunk", "doc", "mark", "start", "phrase")
         .groupBy("shard", "chunk")
@@ -349,13 +314,13 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     spans = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     marked = candidates.select("doc", "text", F.shiftright(F.crc32(F.col("text").cast("binary")), 1).alias("mark"))
     changed = marked.join(spans, ["doc", "mark"]).mapInArrow(_remove, "doc bigint, mark bigint, n_removed bigint, kept_text string")
-    changed = changed.dropDuplicates(["doc", "mark"])
+    changed = materialize(changed.dropDuplicates(["doc", "mark"]), "changed")
 
     copied_whole = (F.col("doc") > F.col("first")) & (F.col("n_words") >= WINDOW)
     return (
         sketch.drop("anchors")
-        .join(first, "digest")
         .join(changed, ["doc", "mark"], "left")
+        .join(first, "digest")
         .select(
             F.nullif("doc", F.lit(NO_ID)).alias("doc_id"),
             "n_words",

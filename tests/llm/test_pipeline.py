@@ -7,9 +7,11 @@ from pathlib import Path
 import corpus_pipeline
 from lamina.llm import source_mix
 from lamina.session import materialize
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+import test_near_texts as near  # noqa: E402
 
 
 def test_stages(spark, sf_dir):
@@ -26,7 +28,8 @@ def test_stages(spark, sf_dir):
     wanted = {i: (dropped, digest) for i, _, dropped, digest in brute.lines(list(zip(language["doc_id"], language["text"])))}
     assert {i: brute.sha(t) for i, t in zip(lines["doc_id"], lines["text"])} == {i: d for i, (_, d) in wanted.items()}
     assert all(len(t) == n for i, t, n in zip(lines["doc_id"], lines["text"], lines["n_chars"]) if wanted[i][0])
-    first = {c for _, _, c in brute.simhash(list(zip(lines["doc_id"], lines["text"])))}
+    rows = list(zip(lines["doc_id"], lines["text"]))
+    first = near.firsts(rows, near.colliding(rows, near.similar(rows)))
     assert set(texts["doc_id"]) == first and len(texts) == len(first)
     counts = Counter(mixed["doc_id"])
     again = source_mix.mix_sources(spark.createDataFrame(texts)).toPandas()
@@ -34,6 +37,30 @@ def test_stages(spark, sf_dir):
     assert sorted(zip(tokens["doc_id"], tokens["decoded_sha256"])) == sorted((i, brute.sha(t)) for i, t in zip(mixed["doc_id"], mixed["text"]))
 
 
+def odd(spark, sf_dir):
+    """Documents with nulls, empty and long texts, repeated rows, ties and columns whose names the stages use."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    some = docs.limit(1).collect()[0]
+    rows = [(None, "A text without an id that is long enough to be kept by all.", None, None, None), (90_001, None, "en", "src0", 0), (90_002, "", None, "src1", 0)]
+    rows += [(90_003, "word " * 30_000, "en", None, 150_000), (90_004, "x" * 200_000, "de", "src2", 200_000), (some["doc_id"], some["text"], some["lang"], some["source"], 1)] * 2
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    names = ["a.b", "ids", "n_tokens", "row", "doc", "key", "rate", "copy", "kept_id", "kept_text", "judged", "group", "Decoded_sha256"]
+    return docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf_dir):
+    docs = odd(spark, sf_dir)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        assert docs.count() > 0
+        if name != "byte_bpe":
+            assert docs.columns == before, name
+    assert {"n_tokens", "ids", "decoded_sha256", "a.b", "rate", "doc_id"} <= set(docs.columns) and "text" not in docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd(spark, sf_dir).limit(0), sf_dir).count() == 0, name
+
+
 def test_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.count() > 0 and "n_tokens" in found.columns
