@@ -15,9 +15,12 @@ STOP_WORDS = (
 ).split()
 
 
+_SPACE = r"\s\x0b\x{85}\x{a0}\p{Z}"
+
+
 def normalize_body(text: Column) -> Column:
     """Without carriage returns; runs of white space become one space, none at the ends."""
-    return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), r"[\s\x0b\x{85}\x{a0}\p{Z}]+", " "))
+    return F.btrim(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), f"[{_SPACE}]+", " "))
 
 
 def _before_last(text: Column, mark: str) -> Column:
@@ -41,9 +44,13 @@ def normalize_token(word: Column) -> Column:
 
 
 def tokens(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and token for every counted token of every text."""
-    words = F.explode(F.split(normalize_body(F.col(text)), " "))
-    return df.select(doc_id, words.alias("word")).select(doc_id, normalize_token(F.col("word")).alias("token")).filter("token is not null")
+    """doc_id and token for every counted token of every text.
+
+    Texts are cleaned whole and cut then, which gives the words that normalize_token makes of each word of the body.
+    """
+    cleaned = F.lower(F.regexp_replace(F.replace(F.col(text), F.lit("\r"), F.lit("")), f"[^A-Za-z0-9{_SPACE}]+", ""))
+    words = df.select(doc_id, F.explode(F.split(cleaned, f"[{_SPACE}]+")).alias("token"))
+    return words.filter((F.length("token") >= 3) & ~F.col("token").isin(*STOP_WORDS))
 
 
 def bucket(token: Column, buckets: int = BUCKETS) -> Column:

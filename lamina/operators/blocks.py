@@ -42,13 +42,14 @@ def search(
     score: str,
     shard_rows: int = SHARD_ROWS,
     block_rows: int = BLOCK_ROWS,
+    read: Callable[[pa.Table, str], object] = matrix,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of what the kernel finds for each query in each shard.
 
     Shards and blocks are dealt by a hash of the id, and meet in groups of one of each, so that a group
     has a bounded size and every query meets every shard once. Only vectors of equal width meet. The
     kernel gets ids and matrix of a shard, ids and matrix of a block, and returns query ids, ids and
-    scores, at most k for each query; ties must go to the smaller id.
+    scores, at most k for each query; ties must go to the smaller id. read makes what the kernel gets of the vectors.
     """
     sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     asked = queries.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -67,7 +68,7 @@ def search(
         if not len(shard) or not len(block):
             found = (np.zeros(0, np.int64),) * 3
         else:
-            found = kernel(shard.column("id").to_numpy(), matrix(shard), block.column("q_id").to_numpy(), matrix(block, "q_vector"))
+            found = kernel(shard.column("id").to_numpy(), read(shard, "vector"), block.column("q_id").to_numpy(), read(block, "q_vector"))
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
 
     kind = {"bigint": pa.int64(), "double": pa.float64()}[score]

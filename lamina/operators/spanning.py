@@ -18,17 +18,26 @@ from . import blocks, knn
 from .components import components
 
 
+def distances(columns: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Euclidean distances of vectors (one a column) from a point. Squares are added in the order of the components, as
+    those of core distances are, so that edges as long as a core distance are exactly so and ties are broken by ids."""
+    total = np.zeros(columns.shape[1])
+    for column, x in zip(columns, point.tolist()):
+        gap = column - x
+        total += gap * gap
+    return np.sqrt(total)
+
+
 def prim(ids: np.ndarray, rows: np.ndarray, core: np.ndarray) -> np.ndarray:
     """Edges (place, place, w) of the tree over rows in order of ids."""
     n = len(ids)
     best, source = np.full(n, np.inf), np.zeros(n, np.int64)
     outside = np.ones(n, bool)
     edges = np.zeros((max(0, n - 1), 3))
-    now = 0
+    now, columns = 0, np.ascontiguousarray(rows.T)
     for step in range(n - 1):
         outside[now] = False
-        gap = rows - rows[now]
-        reach = np.maximum(np.sqrt((gap * gap).sum(axis=1)), np.maximum(core, core[now]))
+        reach = np.maximum(distances(columns, rows[now]), np.maximum(core, core[now]))
         # of equal weights the edge of least (a, b) wins
         here, there = np.minimum(np.arange(n), now), np.maximum(np.arange(n), now)
         held = np.minimum(np.arange(n), source), np.maximum(np.arange(n), source)
@@ -69,10 +78,9 @@ def nearest_outside(rows: DataFrame) -> DataFrame:
 
     def kernel(ids, matrix, query_ids, queries):
         found, others, scores = [], [], []
-        points, core, comp = matrix[:, :-2], matrix[:, -2], matrix[:, -1]
+        columns, core, comp = np.ascontiguousarray(matrix[:, :-2].T), matrix[:, -2], matrix[:, -1]
         for i, query in zip(query_ids.tolist(), queries):
-            gap = points - query[:-2]
-            reach = np.maximum(np.sqrt((gap * gap).sum(axis=1)), np.maximum(core, query[-2]))
+            reach = np.maximum(distances(columns, query[:-2]), np.maximum(core, query[-2]))
             reach[comp == query[-1]] = np.inf
             least = reach.min()
             if np.isfinite(least):

@@ -335,10 +335,9 @@ def mst_euclid(spark, sf_dir):
     return spanning.spanning_tree(_rows(spark, sf_dir)).select("a", "b", r6("w").alias("w"))
 
 
-@query(sql("mutual", f"select {rounded('d')} as w, count(*) as edges from grow group by 1"))
+@query(sql("mutual", f"select a, b, {rounded('w')} as w from mst"))
 def mst_mutual_reachability(spark, sf_dir):
-    found = spanning.spanning_tree(_rows(spark, sf_dir), min_samples=5)
-    return found.groupBy(r6("w").alias("w")).agg(F.count("*").alias("edges"))
+    return spanning.spanning_tree(_rows(spark, sf_dir), min_samples=5).select("a", "b", r6("w").alias("w"))
 
 
 THRESHOLD = 1.12
@@ -384,69 +383,100 @@ def linkage_heights(spark, sf_dir):
     return found.groupBy(r6("dist").alias("dist")).agg(F.count("*").alias("merges"))
 
 
-@query()
+@query(sql(("mst", "merges"), f"select s as step, one as left_id, two as right_id, {rounded('w')} as dist, size from merges"))
 def linkage_tree(spark, sf_dir):
     def cut(ids, m):
         return _frame({"step": range(len(m)), "left_id": m[:, 0].astype(int), "right_id": m[:, 1].astype(int), "dist": m[:, 2], "size": m[:, 3].astype(int)})
 
-    return _on_tree(spark, sf_dir, cut, "step bigint, left_id bigint, right_id bigint, dist double, size bigint")
+    found = _on_tree(spark, sf_dir, cut, "step bigint, left_id bigint, right_id bigint, dist double, size bigint")
+    return found.withColumn("dist", r6("dist"))
 
 
-@query()
+#: Least points of a cluster in the queries of condensed trees.
+LEAST = 5
+
+
+def _condensed(body: str, part: str = "condensed") -> str:
+    return sql(("mutual", part), body, least=LEAST)
+
+
+@query(
+    _condensed(
+        f"""select cluster as parent, p as child, {rounded('lam')} as "lambda", 1::bigint as child_size from left_at
+union all select parent, cluster, {rounded('lam')}, size from clusters"""
+    )
+)
 def condensed_tree(spark, sf_dir):
     def cut(ids, m):
-        parent, child, at, size = zip(*hierarchy.condense(m, 5).rows())
+        parent, child, at, size = zip(*hierarchy.condense(m, LEAST).rows())
         return _frame({"parent": parent, "child": child, "lambda": at, "child_size": size})
 
-    return _on_tree(spark, sf_dir, cut, "parent bigint, child bigint, lambda double, child_size bigint", 5)
+    found = _on_tree(spark, sf_dir, cut, "parent bigint, child bigint, lambda double, child_size bigint", 5)
+    return found.withColumn("lambda", r6("lambda"))
 
 
-@query()
+@query(_condensed("select cluster from leaves"))
 def leaf_clusters(spark, sf_dir):
-    return _on_tree(spark, sf_dir, lambda ids, m: _frame({"cluster": hierarchy.condense(m, 5).leaves()}), "cluster bigint", 5)
+    return _on_tree(spark, sf_dir, lambda ids, m: _frame({"cluster": hierarchy.condense(m, LEAST).leaves()}), "cluster bigint", 5)
 
 
-@query()
+@query(
+    _condensed(
+        f"""
+, tops as (select cluster, max(lam) as top from left_at group by cluster),
+marked as (
+  select pts.id, x.lam, t.top,
+         case when (select count(*) from leaves) = 1 then case when x.lam >= (select max(lam) from left_at where cluster in (select cluster from leaves)) then 0 else -1 end
+              else coalesce(l.label, -1) end as label
+  from left_at x join pts using (p) left join leaves l on l.cluster = x.cluster left join tops t on t.cluster = x.cluster)
+select id, label, case when label < 0 then 0.0 else {rounded('lam / top')} end as strength from marked"""
+    )
+)
 def cluster_labels(spark, sf_dir):
     def cut(ids, m):
-        tree = hierarchy.condense(m, 5)
+        tree = hierarchy.condense(m, LEAST)
         label = hierarchy.labels(tree, tree.leaves())
         return _frame({"id": ids, "label": label, "strength": hierarchy.strengths(tree, tree.leaves(), label)})
 
-    return _on_tree(spark, sf_dir, cut, "id bigint, label bigint, strength double", 5)
+    return _on_tree(spark, sf_dir, cut, "id bigint, label bigint, strength double", 5).withColumn("strength", r6("strength"))
 
 
-@query()
-def min_size_barcode(spark, sf_dir):
-    def cut(ids, m):
-        births, deaths, parents, fades = hierarchy.barcode(hierarchy.condense(m, 5), 5)
-        return _frame({"cluster": [len(ids) + i for i in range(len(births))], "parent": parents, "birth": births, "death": deaths, "fade": fades})
-
-    return _on_tree(spark, sf_dir, cut, "cluster bigint, parent bigint, birth double, death double, fade double", 5)
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cluster, parent, birth, death, fade and whether it is the root, of all clusters of the vectors."""
 
+    def cut(ids, m):
+        births, deaths, parents, fades = hierarchy.barcode(hierarchy.condense(m, LEAST), LEAST)
+        cluster = [len(ids) + i for i in range(len(births))]
+        return _frame({"cluster": cluster, "parent": parents, "birth": births, "death": deaths, "fade": fades, "root": [c == len(ids) for c in cluster]})
 
-_BARS = [(5.0, 40.0, 0.0, True), (9.0, 12.0, 0.3, False), (5.0, 12.0, 0.3, False), (5.0, 9.0, 0.5, False), (5.0, 9.0, 0.5, False), (7.0, 20.0, 0.1, False), (8.0, 8.0, 0.9, False)]
-_BARS_SQL = "with bars(birth, death, fade, root) as (values " + ", ".join(f"({b}::double, {d}::double, {f}::double, {str(r).lower()})" for b, d, f, r in _BARS) + ")"
+    return _on_tree(spark, sf_dir, cut, "cluster bigint, parent bigint, birth double, death double, fade double, root boolean", 5)
 
 
-def _bars(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_BARS, "birth double, death double, fade double, root boolean")
+@query(_condensed(f"select cluster, parent, birth, death, {rounded('fade')} as fade from bars", "bars"))
+def min_size_barcode(spark, sf_dir):
+    return _bars(spark, sf_dir).drop("root").withColumn("fade", r6("fade"))
 
 
 @query(
-    f"""{_BARS_SQL} select s.size, {rounded('coalesce(sum((death - birth) * fade), 0)')} as total
-from (select distinct birth as size from bars) s left join bars b on s.size >= b.birth and s.size < b.death and b.death > b.birth and not b.root group by s.size"""
+    _condensed(
+        f"""select s.size, {rounded('coalesce(sum((death - birth) * fade), 0)')} as total
+from (select distinct birth as size from bars) s left join bars b on s.size >= b.birth and s.size < b.death and b.death > b.birth and not b.root group by s.size""",
+        "bars",
+    )
 )
 def total_persistence(spark, sf_dir):
-    return report.total_persistence(_bars(spark)).select("size", r6("total").alias("total"))
+    return report.total_persistence(materialize(_bars(spark, sf_dir), "bars")).select("size", r6("total").alias("total"))
 
 
 @query(
-    f"""{_BARS_SQL} select (count(*) filter (birth <= 5 and death > 5 and birth <= 10 and death > 10))
-       / (count(*) filter ((birth <= 5 and death > 5) or (birth <= 10 and death > 10)))::double as jaccard from bars"""
+    _condensed(
+        """select coalesce((count(*) filter (birth <= 5 and death > 5 and birth <= 10 and death > 10))
+       / nullif(count(*) filter ((birth <= 5 and death > 5) or (birth <= 10 and death > 10)), 0)::double, 0) as jaccard from bars""",
+        "bars",
+    )
 )
 def active_cluster_jaccard(spark, sf_dir):
-    return report.active_similarity(_bars(spark), 5, 10)
+    return report.active_similarity(_bars(spark, sf_dir), 5, 10)
 
 
 @query(
@@ -578,8 +608,8 @@ def cluster_size_histogram(spark, sf_dir):
 
 
 @query(
-    """select vec_id, case when label between 0 and 9 then ['T-shirt/top', 'Trouser', 'Pullover', 'Dress', 'Coat', 'Sandal', 'Shirt', 'Sneaker', 'Bag', 'Ankle boot'][label + 1] else '?' end as fashion,
-       coalesce(['business', 'entertainment', 'politics', 'sport', 'tech'][label + 1], '?') as news from embeddings"""
+    f"""select vec_id, case when label >= 0 then coalesce({report.CLASS_NAMES['fashion']}[label + 1], '?') else '?' end as fashion,
+       case when label >= 0 then coalesce({report.CLASS_NAMES['news5']}[label + 1], '?') else '?' end as news from embeddings"""
 )
 def class_names(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select(
@@ -619,33 +649,41 @@ def doc_bow_md5(spark, sf_dir):
     return T.hashed_bag(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
 
 
-@query(sql("bag", f"select doc_id, {rounded('greatest(sqrt(sum(weight * weight)), 1e-12)')} as norm from bag group by doc_id", stop=_STOP, buckets=T.BUCKETS))
+@query(
+    sql(
+        "bag",
+        f"""select d.doc_id, {rounded('greatest(coalesce(sqrt(sum(weight * weight)), 0), 1e-12)')} as norm
+from documents d left join bag on bag.doc_id = d.doc_id group by d.doc_id""",
+        stop=_STOP,
+        buckets=T.BUCKETS,
+    )
+)
 def doc_bow_norm(spark, sf_dir):
-    return T.bag_norms(T.hashed_bag(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id").withColumn("norm", r6("norm"))
-
-
-NARROW = 256
+    docs = read_table(spark, sf_dir, "documents")
+    norms = docs.select("doc_id").distinct().join(T.bag_norms(T.hashed_bag(docs, "doc_id", "text"), "doc_id"), "doc_id", "left")
+    return norms.select("doc_id", r6(F.coalesce("norm", F.lit(1e-12))).alias("norm"))
 
 
 @query(
     sql(
         "bag",
         f"""
-, dense as materialized (
-  select doc_id as id, [coalesce(m[b], 0.0) for b in range(0, {NARROW})] as v from (select doc_id, map(list(bucket), list(weight)) as m from bag group by doc_id)),
-n as materialized (select id, [x / greatest(sqrt(list_dot_product(v, v)), 1e-12) for x in v] as v from dense)
-select a.id as i, (row_number() over (partition by a.id order by sim desc, b.id))::int as rank, b.id as j, {rounded('sim')} as sim
-from n a join n b on a.id <> b.id, lateral (select list_dot_product(a.v, b.v) as sim) qualify rank <= 5""",
+, size as (select doc_id, greatest(sqrt(list_sum(list(weight * weight order by bucket))), 1e-12) as size from bag group by doc_id),
+n as materialized (select doc_id as id, bucket, weight / size as v from bag join size using (doc_id)),
+d as (select distinct doc_id as id from documents),
+s as (select a.id as i, b.id as j, list_sum(list(a.v * b.v order by a.bucket)) as sim from n a join n b on a.bucket = b.bucket and a.id <> b.id group by a.id, b.id)
+select a.id as i, (row_number() over (partition by a.id order by coalesce(sim, 0) desc, b.id))::int as rank, b.id as j, {rounded('coalesce(sim, 0)')} as sim
+from d a join d b on a.id <> b.id left join s on s.i = a.id and s.j = b.id qualify rank <= 5""",
         stop=_STOP,
-        buckets=NARROW,
+        buckets=T.BUCKETS,
     )
 )
 def doc_knn_bow(spark, sf_dir):
-    bag = T.hashed_bag(read_table(spark, sf_dir, "documents"), "doc_id", "text", NARROW)
-    held = bag.groupBy(F.col("doc_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = held.select("id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(NARROW - 1).cast("bigint")), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("vector"))
-    rows = dense.select("id", V.l2_normalize_floor(F.col("vector")).alias("vector"), F.lit(NARROW).alias("dim"))
-    found = knn.blocks.search(rows, rows, knn.inner_product_kernel(5), 5, "double")
+    docs = read_table(spark, sf_dir, "documents")
+    held = T.hashed_bag(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    every = docs.select("doc_id").distinct().join(held, "doc_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<bucket:bigint,weight:double>>")))
+    rows = every.select(F.col("doc_id").alias("id"), F.col("m.bucket").alias("places"), V.l2_normalize_floor(F.col("m.weight")).alias("values"))
+    found = knn.knn_sparse(materialize(rows, "bags"), 5, T.BUCKETS)
     return found.select(F.col("query_id").alias("i"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("j"), r6("score").alias("sim"))
 
 

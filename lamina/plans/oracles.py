@@ -76,10 +76,75 @@ far as materialized (select g.a, g.b, greatest(g.w, x.core, y.core) as w from ga
 grow(id, d, frm, done) using key (id) as (
   select b, w, a, 0 from far where a = (select min(id) from e)
   union
-  (with n as (select * from recurring.grow where done = 0 order by d, id limit 1)
+  (with n as (select * from recurring.grow where done = 0 order by d, least(id, frm), greatest(id, frm) limit 1)
    select id, d, frm, 1 from n union all
    select r.id, f.w, n.id, 0 from n join far f on f.a = n.id join recurring.grow r on r.id = f.b
-   where r.done = 0 and r.id <> n.id and f.w < r.d))""",
+   where r.done = 0 and r.id <> n.id and (f.w < r.d or (f.w = r.d and (least(n.id, r.id), greatest(n.id, r.id)) < (least(r.frm, r.id), greatest(r.frm, r.id)))))),
+mst as materialized (select least(id, frm) as a, greatest(id, frm) as b, d as w from grow)""",
+    ),
+    # From a spanning tree mst: points by place, and merges in order; a key below the number of points is a point and its node.
+    "merges": (
+        ("e",),
+        """pts as materialized (select id, (row_number() over (order by id) - 1)::bigint as p from e),
+total as materialized (select count(*)::bigint as n from e),
+steps as materialized (
+  select (row_number() over (order by w, mst.a, mst.b) - 1)::bigint as s, x.p as a, y.p as b, w from mst join pts x on x.id = mst.a join pts y on y.id = mst.b),
+link(key, node, other, w, size, s) using key (key) as (
+  select p, p, null::bigint, null::double, 1::bigint, -1::bigint from pts
+  union
+  (with now as (
+     select e.s, e.w, x.node as p, y.node as q
+     from (select max(s) + 1 as s from link) c join steps e on e.s = c.s
+       join recurring.link x on x.key = e.a join recurring.link y on y.key = e.b),
+   moved as (select l.key, now.s from now, recurring.link l, total t where l.key < t.n and l.node in (now.p, now.q))
+   select moved.key, t.n + moved.s, null, null, 1, moved.s from moved, total t
+   union all
+   select t.n + now.s, greatest(p, q), least(p, q), now.w, (select count(*) from moved), now.s from now, total t)),
+merges as materialized (select key as node, node as one, other as two, w, size, s from link, total where key >= n)""",
+    ),
+    # Clusters of at least {least} points: a merge of two such sides splits a cluster.
+    "condensed": (
+        ("merges",),
+        """sizes as materialized (select p as node, 1::bigint as size from pts union all select node, size from merges),
+sides as materialized (
+  select m.node, m.w, x.i, x.child, z.size from merges m, lateral (select 1 as i, m.one as child union all select 2, m.two) x join sizes z on z.node = x.child
+  where m.size >= {least}),
+splits as materialized (select node from sides group by node having min(size) >= {least}),
+walk(node, depth, path) as (
+  select node, 0, []::integer[] from merges where s = (select max(s) from merges) and size >= {least}
+  union all
+  select x.child, k.depth + 1, list_append(k.path, x.i) from walk k join sides x on x.node = k.node and x.size >= {least}),
+born as materialized (
+  select x.child as node, x.node as of_node, x.w, x.size, (select n from total) + row_number() over (order by k.depth, k.path, x.i) as cluster
+  from splits join walk k on k.node = splits.node join sides x on x.node = splits.node),
+inside(node, cluster) as (
+  select k.node, (select n from total) from walk k where k.depth = 0
+  union all
+  select x.child, coalesce(b.cluster, c.cluster) from inside c join sides x on x.node = c.node and x.size >= {least} left join born b on b.node = x.child),
+up(p, node) as (
+  select p, p from pts
+  union all
+  select u.p, m.node from up u join sizes z on z.node = u.node and z.size < {least} join merges m on u.node in (m.one, m.two)),
+left_at as materialized (
+  select u.p, c.cluster, 1 / m.w as lam from up u join merges m on m.node = u.node and m.size >= {least} join inside c on c.node = u.node),
+clusters as materialized (
+  select b.cluster, c.cluster as parent, 1 / b.w as lam, b.size, min(b.size) over (partition by b.of_node) as least
+  from born b join inside c on c.node = b.of_node),
+leaves as materialized (
+  select cluster, row_number() over (order by cluster) - 1 as label from (
+    select (select n from total) as cluster union all select cluster from clusters) where cluster not in (select parent from clusters))""",
+    ),
+    "bars": (
+        ("condensed",),
+        """above(cluster, over) as (
+  select cluster, cluster from clusters
+  union all
+  select a.cluster, c.parent from above a join clusters c on c.cluster = a.over),
+bars as materialized (
+  select n as cluster, n as parent, greatest({least}, coalesce((select max(least) from clusters), 0))::double as birth, n::double as death, 0.0::double as fade, true as root from total
+  union all
+  select c.cluster, c.parent, greatest({least}, coalesce((select max(k.least) from above a join clusters k on k.parent = a.cluster where a.over = c.cluster), 0))::double,
+         c.least::double, exp(-1 / c.lam), false from clusters c)""",
     ),
     "tokens": (
         (),

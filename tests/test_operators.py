@@ -183,3 +183,19 @@ def test_texts(spark):
     assert found == {1: "The Body of it", 2: "", 3: None, 4: "It's a TEST, test　test".replace("　", " "), 5: "a -- b"}
     tokens = sorted((r["doc_id"], r["token"]) for r in T.tokens(df, "doc_id", "text").collect())
     assert (4, "test") in tokens and (4, "its") not in tokens and (1, "the") not in tokens and (1, "body") in tokens
+
+
+BARS = [(5.0, 40.0, 0.0, True), (9.0, 12.0, 0.3, False), (5.0, 12.0, 0.3, False), (5.0, 9.0, 0.5, False), (5.0, 9.0, 0.5, False), (7.0, 20.0, 0.1, False), (8.0, 8.0, 0.9, False)]
+
+
+def test_persistence_of_given_bars(spark):
+    from lamina.operators import report
+
+    bars = spark.createDataFrame(BARS, "birth double, death double, fade double, root boolean")
+    found = {r["size"]: r["total"] for r in report.total_persistence(bars).collect()}
+    sizes = sorted({b for b, *_ in BARS})
+    assert found.keys() == set(sizes)
+    for size in sizes:
+        assert found[size] == pytest.approx(sum((d - b) * f for b, d, f, root in BARS if not root and b <= size < d))
+    assert report.active_similarity(bars, 5, 10).first()["jaccard"] == pytest.approx(2 / 6)
+    assert report.active_similarity(bars.limit(0), 5, 10).first()["jaccard"] == 0
