@@ -14,12 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Only where all run in one process may a temporary one stand for it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
