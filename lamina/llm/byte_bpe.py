@@ -5,8 +5,14 @@ of pieces are rows (piece, position, token). A recursive query joins neighbourin
 and in each round contracts the leftmost pair of least rank of every piece that has one, until none
 has. Decoding is an ordered aggregation of the tokens' bytes.
 
+Where a piece is long, a round contracts not only the leftmost pair of least rank but also those that leftmost-first
+order would contract next at this rank, which gives the same tokens if ranks never fall from one contraction to the
+next. That holds for every text if it holds for each token of the vocabulary, encoded from its bytes: were a contraction
+to make a pair of lesser rank, the bytes of that pair would be a token whose own encoding ends with this very step, as
+all contractions inside these bytes so far have been its own. is_ordered() checks it, and other vocabularies are refused.
+
 A task cuts its documents into slices of bounded size, and keeps what it has encoded in a table of bounded
-size; nothing is shuffled.
+size; nothing is shuffled. Only texts pass through Python: what is made of them is added to their rows.
 """
 
 from __future__ import annotations
@@ -25,16 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import named, portions, slices
 
-#: Pieces longer than this contract every occurrence of their least pair in a round.
+#: Pieces longer than this contract all that leftmost-first order would contract at one rank in a round.
 LONG_PIECE = 256
 #: Rounds that one query runs for long pieces.
 LONG_ROUNDS = 32
 #: Bytes of the pieces of one query.
-QUERY_BYTES = 1_000_000
-#: Pieces that a task keeps encoded, and bytes of text that it holds at once.
-KEPT_PIECES, SLICE_BYTES = 400_000, 8 << 20
+QUERY_BYTES = 256 << 10
+#: Bytes of the table of pieces that a task keeps encoded, and of text that it holds at once, about.
+KEPT_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
 #: Blank next to a space, or a space at an end: only other spaces surely begin a piece.
 UNSURE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}] | [\t-\r\x{1c}-\x{20}\x{85}\p{Z}]|\A | \z"
 SURE = re.compile(r"(?<=\S) (?=\S)")
@@ -105,26 +111,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Codec:
-    """Encodes and decodes pieces by recursive queries over one DuckDB connection."""
+def is_ordered(ranks: dict[bytes, int]) -> bool:
+    """Whether each token's bytes encode to it by contractions of ranks that never fall."""
+    for token in ranks:
+        parts, last = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            found = [(rank, i) for i in range(len(parts) - 1) if (rank := ranks.get(parts[i] + parts[i + 1])) is not None]
+            if not found or min(found)[0] < last:
+                return False
+            last, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return True
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "300MB"):
+
+class Vocabulary:
+    """Ranks, and the tables of pairs that make a token and of the tokens' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         pairs = [
             (left * 65_536 + right, rank)
             for token, rank in ranks.items()
             for cut in range(1, len(token))
             if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
         ]
-        merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "merged": pa.array([m for _, m in pairs], pa.int32())})
-        self.db.register("m", merges)
-        self.db.execute("create table merges as select * from m")
-        vocabulary = pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
-        self.db.register("v", vocabulary)
-        self.db.execute("create table vocabulary as select * from v")
+        self.merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "merged": pa.array([m for _, m in pairs], pa.int32())})
+        self.tokens = pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
+
+class Codec:
+    """Encodes and decodes pieces by recursive queries over one DuckDB connection."""
+
+    def __init__(self, vocabulary: Vocabulary, memory: str = "200MB"):
+        self.ranks, self.single = vocabulary.ranks, vocabulary.single
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        for name, rows in (("merges", vocabulary.merges), ("vocabulary", vocabulary.tokens)):
+            self.db.register("rows", rows)
+            self.db.execute(f"create table {name} as select * from rows")
+        self.db.unregister("rows")
+
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece. A piece that is a token is that token."""
         whole = [self.ranks.get(p) for p in pieces]
@@ -132,34 +158,38 @@ class Codec:
         out = [[] if rank is None else [rank] for rank in whole]
         short = [i for i in rest if len(pieces[i]) <= LONG_PIECE]
         long = [i for i in rest if len(pieces[i]) > LONG_PIECE]
-        for some in _portions(short, [len(pieces[i]) for i in short], QUERY_BYTES):
-            for i, (tokens, _) in zip(some, self._contract(ENCODE, [self._single(pieces[i]) for i in some])):
+        for some in portions(short, [len(pieces[i]) for i in short], QUERY_BYTES):
+            for i, (tokens, _) in zip(some, self._contract(ENCODE, *self._single([pieces[i] for i in some]))):
                 out[i] = tokens
-        for some in _portions(long, [len(pieces[i]) for i in long], QUERY_BYTES):
-            state = {i: self._single(pieces[i]) for i in some}
-            while state:  # so many rounds at a time, as a query keeps the rows of all its rounds
-                for i, (tokens, rounds) in zip(list(state), self._contract(ENCODE_LONG.format(rounds=LONG_ROUNDS), list(state.values()))):
-                    state[i] = out[i] = tokens
-                    if rounds < LONG_ROUNDS:
-                        del state[i]
+        for some in portions(long, [len(pieces[i]) for i in long], QUERY_BYTES):
+            tokens, lengths = self._single([pieces[i] for i in some])
+            while some:  # so many rounds at a time, as a query keeps the rows of all its rounds
+                left = []
+                for i, (found, rounds) in zip(some, self._contract(ENCODE_LONG.format(rounds=LONG_ROUNDS), tokens, lengths)):
+                    out[i] = found
+                    if rounds == LONG_ROUNDS:
+                        left.append(i)
+                some, lengths = left, np.array([len(out[i]) for i in left], np.int64)
+                tokens = np.concatenate([np.zeros(0, np.int32), *(np.array(out[i], np.int32) for i in left)])
         return out
 
-    def _single(self, piece: bytes) -> np.ndarray:
-        return self.single[np.frombuffer(piece, np.uint8)]
+    def _single(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all bytes, and how many there are in each piece."""
+        return self.single[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces], np.int64)
 
-    def _contract(self, query: str, pieces: list) -> Iterator[tuple[list[int], int]]:
+    def _contract(self, query: str, token: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[list[int], int]]:
         """Tokens of each piece after the query's rounds, and how many rounds it took part in."""
-        lengths = np.array([len(p) for p in pieces])
         piece, pos = _positions(lengths)
-        token = np.concatenate(pieces).astype(np.int32)
         last = np.append(piece[1:] != piece[:-1], True)
         right = {"right_pos": pa.array(pos + 1, mask=last), "right_token": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}
         self.db.register("start", pa.table({"piece": piece, "pos": pos, "token": token} | right))
         found = self.db.execute(query).fetchnumpy()
         tokens, rounds = found["token"].tolist(), found["round"]
-        ends = np.searchsorted(found["piece"], np.arange(len(pieces)), side="right").tolist()
-        for start, end in zip([0, *ends], ends):
-            yield tokens[start:end], int(rounds[start])
+        ends = np.searchsorted(found["piece"], np.arange(len(lengths)), side="right")
+        rounds = rounds[ends - 1].tolist()
+        ends = ends.tolist()
+        for start, end, n in zip([0, *ends], ends, rounds):
+            yield tokens[start:end], n
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -179,16 +209,10 @@ def _positions(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece, (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
 
-def _portions(items: list[int], weights: list[int], most: int) -> Iterator[list[int]]:
-    some, total = [], 0
-    for item, weight in zip(items, weights):
-        if some and total + weight > most:
-            yield some
-            some, total = [], 0
-        some.append(item)
-        total += weight
-    if some:
-        yield some
+def _bytes(item: tuple[str, tuple[bytes, int, bytes]]) -> int:
+    """About the memory of an item of the table."""
+    piece, (ids, _, decoded) = item
+    return 320 + len(piece) + len(ids) + len(decoded)
 
 
 class Encoder:
@@ -197,18 +221,21 @@ class Encoder:
     def __init__(self, codec: Codec, pattern: str):
         self.codec, self.pattern = codec, regex.compile(pattern)
         self.kept: dict[str, tuple[bytes, int, bytes]] = {}
+        self.used = 0
 
     def lookup(self, chunks: list[str]) -> list[tuple[bytes, int, bytes]]:
         """For each chunk its ids (decimal, joined by blanks), their number, and the decoded bytes."""
         cut = [self.pattern.findall(c) for c in chunks]
         pieces = dict.fromkeys(p for c in cut for p in c)
-        if len(self.kept) > KEPT_PIECES:
+        if self.used > KEPT_BYTES:  # what these chunks need stays
             self.kept = {p: self.kept[p] for p in pieces if p in self.kept}
+            self.used = sum(map(_bytes, self.kept.items()))
         kept = self.kept
         missing = [p for p in pieces if p not in kept]
         ids = self.codec.encode([p.encode() for p in missing])
         for piece, tokens, decoded in zip(missing, ids, self.codec.decode(ids)):
-            kept[piece] = (" ".join(map(str, tokens)).encode(), len(tokens), decoded)
+            kept[piece] = coded = (" ".join(map(str, tokens)).encode(), len(tokens), decoded)
+            self.used += _bytes((piece, coded))
         out = []
         for found in cut:
             if len(found) == 1:
@@ -262,43 +289,76 @@ def _numbers(ids: pa.Array, n: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n.to_numpy()))).astype(np.int32)), flat)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
+
+
+@lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(Codec(read_ranks(path)), pattern)
+    """One for all tasks of a worker, so that what it has encoded is of use to the next."""
+    return Encoder(Codec(_vocabulary(path)), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return row (a struct of docs without the text), ids (array), n_tokens, decoded (binary) for every row.
+@lru_cache(maxsize=8)
+def _checked(path: str) -> str:
+    if not is_ordered(read_ranks(path)):
+        raise ValueError(f"not the ranks of a byte pair encoding: {path}")
+    return path
 
-    path: the rank file, at the same place on every machine. A null text is an empty one, which has no
-    ids. Repeated rows are encoded each; ids are those of the tiktoken library without special tokens. An
-    empty table gives no rows.
-    """
-    return _map(docs, path, pattern, doc_id, text, digests=False)
 
+#: What may be made of a text, and its type.
+OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of what encode_documents returns."""
-    return _map(docs, path, pattern, doc_id, text, digests=True)
 
+def coder(path: str, pattern: str, outputs: tuple[str, ...]):
+    """The column function from texts to a struct of the named outputs. A null text is an empty one."""
+    path = _checked(path)
 
-def _map(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, digests: bool) -> DataFrame:
     def digest(values: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = {
+        "ids": lambda ids, n, decoded: _numbers(ids, n),
+        "n_tokens": lambda ids, n, decoded: n,
+        "decoded": lambda ids, n, decoded: decoded.cast(pa.binary()),
+        "ids_sha256": lambda ids, n, decoded: digest(ids),
+        "decoded_sha256": lambda ids, n, decoded: digest(decoded),
+    }
+
+    @F.arrow_udf(", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                ids, n, decoded = encoder.encode(part.column("text"))
-                if digests:
-                    columns = {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": digest(ids), "decoded_sha256": digest(decoded)}
-                else:
-                    columns = {"row": part.column("row"), "ids": _numbers(ids, n), "n_tokens": n, "decoded": decoded.cast(pa.binary())}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    if digests:
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    rows = docs.select(F.struct("*").dropFields(text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_tokens bigint, decoded binary")
+        for texts in batches:
+            parts = []
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
+                coded = encoder.encode(part.column("text"))
+                parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+            if not parts:
+                coded = encoder.encode(pa.array([], pa.string()))
+                parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+            yield pa.concat_arrays(parts)
+
+    return code
+
+
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = ("ids", "n_tokens", "decoded")
+) -> DataFrame:
+    """Return row (a struct of docs without the text) and the outputs for every row of docs.
+
+    outputs: some of ids (array), n_tokens, decoded (binary), ids_sha256 (of the decimal ids joined by one space),
+    decoded_sha256. path: the rank file, at the same place on every machine. A null text is an empty one, which has no
+    ids. Texts of any length are encoded whole. Repeated rows are encoded each; ids are those of the tiktoken library
+    without special tokens. An empty table gives no rows. Columns of docs may have any names, as they are in row.
+    """
+    kept = [named(c).alias(c) for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("none")]
+    coded = docs.select(F.struct(*kept).alias("row"), coder(path, pattern, outputs)(named(text)).alias("coded"))
+    return coded.select("row", *[F.col("coded")[name].alias(name) for name in outputs])
+
+
+def encode_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Return doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of what encode_documents returns."""
+    rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_documents(rows, path, pattern, outputs=outputs).select("row.doc_id", *outputs)
