@@ -2,26 +2,60 @@
 
 Every step is a join or an aggregation over (i, j) rows; draws are hashes, so a seed fixes the result
 however rows are dealt. Leaves and candidate lists have a bounded size.
+
+Vectors are unit vectors (``cosine``), integers (``int8``) or packed words of 32 bits (``bits``); a metric is what a pair
+scores, greater being nearer, and on which side of two rows a third one lies.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import vectors as V
 from lamina.session import materialize
 
-DELTA, DEPTH = 0.001, 200
+#: Rounds end when so small a share of the entries is new, or the summed scores grow by less than GAIN of themselves.
+DELTA, GAIN, DEPTH = 0.001, 1e-4, 200
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return V.dot(x, y)
+
+
+def _overlap(x: Column, y: Column) -> Column:
+    """Share of common bits among the bits of either."""
+    words = [F.transform(v, lambda w: w.cast("bigint")) for v in (x, y)]
+    return -V.jaccard_raw(*words)
+
+
+def _plane(x: Column, a: Column, b: Column) -> Column:
+    """Above 0 on the side of a: the product with a - b."""
+    return V.dot(x, a) - V.dot(x, b)
+
 
+def _common(x: Column, a: Column, b: Column) -> Column:
+    """Above 0 where x shares more bits with what a has alone than with what b has alone."""
+    x, a, b = (F.transform(v, lambda w: w.cast("bigint")) for v in (x, a, b))
 
-def forest(rows: DataFrame, leaf_size: int = 15, trees: int = 4, seed: int = 42, depth: int = DEPTH) -> DataFrame:
+    def shared(one: Column, other: Column) -> Column:
+        alone = F.zip_with(one, other, lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
+        return F.aggregate(F.zip_with(x, alone, lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, z: s + z)
+
+    return (shared(a, b) - shared(b, a)).cast("double")
+
+
+SCORES = {"cosine": _dot, "int8": _dot, "bits": _overlap}
+MARGINS = {"cosine": _plane, "int8": _plane, "bits": _common}
+
+
+def forest(rows: DataFrame, leaf_size: int = 15, trees: int = 4, seed: int = 42, depth: int = DEPTH, metric: str = "cosine") -> DataFrame:
     """tree, leaf, id: each tree splits rows (id, vector) until leaves have at most leaf_size rows.
 
-    A node splits by the side of the plane halfway between two of its rows, those of least and greatest hash. Rows on
-    the plane go either way by hash, as all do where the two are equal.
+    A node splits by the side of the plane halfway between two of its rows, those of least and greatest hash (of bits: by
+    the bits that only one of the two has). Rows on the plane go either way by hash, as all do where the two are equal.
     """
     placed = rows.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit("").alias("leaf"))
     done, open_ = None, materialize(placed, "nodes")
@@ -34,9 +68,7 @@ def forest(rows: DataFrame, leaf_size: int = 15, trees: int = 4, seed: int = 42,
         at = open_.join(sizes, ["tree", "leaf"])
         small = materialize(at.filter(F.col("n") <= leaf_size).select("tree", "leaf", "id"), "leaves")
         done = small if done is None else done.unionByName(small)
-        margin = F.aggregate(
-            F.arrays_zip("vector", "a", "b"), F.lit(0.0), lambda s, x: s + (x["a"] - x["b"]) * x["vector"]
-        )
+        margin = MARGINS[metric](F.col("vector"), F.col("a"), F.col("b"))
         coin = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit("coin"), "tree", "id"), F.lit(2)) == 0
         side = F.when(F.abs("margin") < 1e-8, coin).otherwise(F.col("margin") > 0)
         large = at.filter(F.col("n") > leaf_size).withColumn("margin", margin)
@@ -46,10 +78,10 @@ def forest(rows: DataFrame, leaf_size: int = 15, trees: int = 4, seed: int = 42,
     return done
 
 
-def _scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """i, j, sim for distinct pairs, of unit vectors."""
+def _scored(pairs: DataFrame, rows: DataFrame, metric: str) -> DataFrame:
+    """i, j, sim for distinct pairs."""
     a, b = rows.select(F.col("id").alias("i"), F.col("vector").alias("a")), rows.select(F.col("id").alias("j"), F.col("vector").alias("b"))
-    return pairs.join(a, "i").join(b, "j").select("i", "j", V.dot(F.col("a"), F.col("b")).alias("sim"))
+    return pairs.join(a, "i").join(b, "j").select("i", "j", SCORES[metric](F.col("a"), F.col("b")).alias("sim"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -63,7 +95,7 @@ def leaf_pairs(leaves: DataFrame) -> DataFrame:
     return leaves.withColumnRenamed("id", "i").join(other, ["tree", "leaf"]).filter("i <> j").select("i", "j").distinct()
 
 
-def random_fill(current: DataFrame, rows: DataFrame, k: int, seed: int) -> DataFrame:
+def random_fill(current: DataFrame, rows: DataFrame, k: int, seed: int, metric: str = "cosine") -> DataFrame:
     """current with rows of fewer than k neighbours filled up by rows that hashes draw."""
     from .propagate import _dense
 
@@ -73,20 +105,34 @@ def random_fill(current: DataFrame, rows: DataFrame, k: int, seed: int) -> DataF
     short = held.filter(F.coalesce("n", F.lit(0)) < k).select("i", F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("p"))
     drawn = short.select("i", F.pmod(F.xxhash64(F.lit(seed), "i", "p"), F.lit(count)).alias("number")).join(numbered, "number")
     fresh = drawn.select("i", F.col("id").alias("j")).filter("i <> j").distinct().join(current.select("i", "j"), ["i", "j"], "left_anti")
-    return _best(current.drop("rank").unionByName(_scored(fresh, rows)), k)
-
-
-def neighbor_descent(rows: DataFrame, k: int = 15, trees: int = 4, rounds: int | None = None, seed: int = 42, candidates: int | None = None) -> DataFrame:
-    """i, rank, j, sim: about the k nearest rows of each, without itself, by cosine of unit vectors.
+    return _best(current.drop("rank").unionByName(_scored(fresh, rows, metric)), k)
+
+
+def neighbor_descent(
+    rows: DataFrame,
+    k: int = 15,
+    trees: int = 4,
+    rounds: int | None = None,
+    seed: int = 42,
+    candidates: int | None = None,
+    metric: str = "cosine",
+    leaf_size: int | None = None,
+    depth: int = DEPTH,
+    delta: float = DELTA,
+    gain: float = GAIN,
+) -> DataFrame:
+    """i, rank, j, sim: about the k nearest rows of each, without itself, by the metric's score.
 
     Each round takes of every row the candidates new and old neighbours, forward and reverse, that hashes draw, and
-    scores pairs with a new one that share a row. It ends when hardly a neighbour changes.
+    scores pairs with a new one that share a row. It ends when hardly a neighbour changes (delta) or the scores of all
+    hardly grow (gain).
     """
     rows = materialize(rows.select("id", "vector"), "vectors")
     n = rows.count()
     most = candidates or min(60, max(1, int(1.5 * k)))
-    leaves = forest(rows, max(10, k), trees, seed)
-    current = materialize(random_fill(_best(_scored(leaf_pairs(leaves), rows), k), rows, k, seed).withColumn("new", F.lit(True)), "current")
+    leaves = forest(rows, leaf_size or max(10, k), trees, seed, depth, metric)
+    current = materialize(random_fill(_best(_scored(leaf_pairs(leaves), rows, metric), k), rows, k, seed, metric).withColumn("new", F.lit(True)), "current")
+    total = current.agg(F.sum("sim")).first()[0] or 0.0
     for turn in range(rounds or max(5, round(math.log2(max(n, 2))))):
         both = current.select(F.col("i").alias("v"), F.col("j").alias("u"), "new").unionByName(current.select(F.col("j").alias("v"), F.col("i").alias("u"), "new"))
         both = both.groupBy("v", "u").agg(F.max("new").alias("new"))
@@ -97,9 +143,10 @@ def neighbor_descent(rows: DataFrame, k: int = 15, trees: int = 4, rounds: int |
         met = met.unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().join(current.select("i", "j"), ["i", "j"], "left_anti")
         tried = picked.filter("new").select(F.col("v").alias("i"), F.col("u").alias("j"), F.lit(True).alias("tried"))
         kept = current.join(tried, ["i", "j"], "left").select("i", "j", "sim", (F.col("new") & F.col("tried").isNull()).alias("new"), F.lit(False).alias("fresh"))
-        merged = kept.unionByName(_scored(met, rows).withColumn("new", F.lit(True)).withColumn("fresh", F.lit(True)))
+        merged = kept.unionByName(_scored(met, rows, metric).withColumn("new", F.lit(True)).withColumn("fresh", F.lit(True)))
         current = materialize(_best(merged, k), "current")
-        if current.filter("fresh").count() <= DELTA * k * n:
+        fresh, now = current.agg(F.sum(F.col("fresh").cast("int")), F.sum("sim")).first()
+        if (fresh or 0) <= delta * k * n or (now or 0.0) - total <= gain * abs(total):
             break
-        current = current.drop("fresh")
+        current, total = current.drop("fresh"), now
     return current.select("i", "rank", "j", "sim")

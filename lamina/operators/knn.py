@@ -169,31 +169,49 @@ def _with_self(rows: DataFrame, others: DataFrame, own: Column) -> DataFrame:
     return first.unionByName(others.select(F.col("query_id").alias("i"), "rank", F.col("vec_id").alias("j"), "score"))
 
 
-def knn_cosine(rows: DataFrame, k: int = 15) -> DataFrame:
-    """k nearest by cosine, with the row itself first; dist is 0 also where similarity is not positive."""
+def knn_cosine(rows: DataFrame, k: int = 15, found: DataFrame | None = None) -> DataFrame:
+    """k nearest by cosine, with the row itself first; dist is 0 also where similarity is not positive.
+
+    found: the neighbours (query_id, rank, vec_id, score) of normalized rows, where another search gives them.
+    """
     rows = normalized(rows)
-    found = blocks.search(rows, rows, inner_product_kernel(k - 1), k - 1, "double")
+    found = blocks.search(rows, rows, inner_product_kernel(k - 1), k - 1, "double") if found is None else found
     table = _with_self(rows, found, V.dot(F.col("vector"), F.col("vector")))
     raw = F.when(F.col("score") > 0, -F.col("score")).otherwise(F.lit(V.NO_SIMILARITY))
     return table.select("i", "rank", "j", F.col("score").alias("sim"), raw.alias("raw"), V.cosine_distance(raw).alias("dist"))
 
 
-def knn_int8(rows: DataFrame, k: int = 15) -> DataFrame:
+def knn_int8(rows: DataFrame, k: int = 15, found: DataFrame | None = None) -> DataFrame:
     """k rows of greatest integer inner product, without the row itself; rank from 0."""
-    found = blocks.search(rows, rows, inner_product_kernel(k), k, "double")
+    found = blocks.search(rows, rows, inner_product_kernel(k), k, "double") if found is None else found
     raw = -F.col("score").cast("bigint")
     return found.select(F.col("query_id").alias("i"), (F.col("rank") - 1).alias("rank"), F.col("vec_id").alias("j"), raw.alias("raw"), V.int8_distance(raw.cast("double")).alias("dist"))
 
 
-def knn_bits(rows: DataFrame, k: int = 15) -> DataFrame:
+def knn_bits(rows: DataFrame, k: int = 15, found: DataFrame | None = None) -> DataFrame:
     """k nearest by bit-Jaccard over packed words, with the row itself first."""
-    found = blocks.search(rows, rows, jaccard_kernel(k - 1), k - 1, "double")
+    found = blocks.search(rows, rows, jaccard_kernel(k - 1), k - 1, "double") if found is None else found
     words = F.transform("vector", lambda x: x.cast("bigint"))
     table = _with_self(rows, found, -V.jaccard_raw(words, words))
     raw = -F.col("score")
     return table.select("i", "rank", "j", raw.alias("raw"), (V.jaccard_distance(raw) + F.lit(0.0)).alias("dist"))
 
 
+#: Neighbour table of a metric, and how many neighbours it has besides the row itself.
+TABLES = {"cosine": (knn_cosine, -1), "int8": (knn_int8, 0), "bits": (knn_bits, -1)}
+
+
+def knn_approximate(rows: DataFrame, k: int = 15, metric: str = "cosine", **options) -> DataFrame:
+    """The metric's neighbour table from forests and neighbour descent instead of all pairs; options are those of
+    descent.neighbor_descent."""
+    from .descent import neighbor_descent
+
+    table, more = TABLES[metric]
+    rows = normalized(rows) if metric == "cosine" else rows
+    found = neighbor_descent(rows, k + more, metric=metric, **options)
+    return table(rows, k, found.select(F.col("i").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("j").alias("vec_id"), F.col("sim").alias("score")))
+
+
 def knn_euclidean(rows: DataFrame, k: int, squared: bool = False) -> DataFrame:
     """k nearest by Euclidean distance, with the row itself first."""
     found = blocks.search(rows, rows, euclidean_kernel(k - 1), k - 1, "double") if k > 1 else None

@@ -540,9 +540,39 @@ def rp_forest_leaves(spark, sf_dir):
     return descent.forest(_rows(spark, sf_dir).select("id", "vector"))
 
 
-@query()
-def nn_descent(spark, sf_dir):
-    return descent.neighbor_descent(knn.normalized(_rows(spark, sf_dir)), 15)
+#: Share of the true neighbours that neighbour descent must find.
+RECALL = 0.9
+
+
+def _recall(spark: SparkSession, rows: DataFrame, metric: str) -> DataFrame:
+    """One row: the metric, how many neighbours descent gives, and whether RECALL of the exact ones are among them."""
+    rows = materialize(rows, "vectors")
+    pair = ["i", "j"]
+    exact = knn.TABLES[metric][0](rows, 15).filter("i <> j").select(pair)
+    near = materialize(knn.knn_approximate(rows, 15, metric), "near").filter("i <> j").select(pair)
+    counts = exact.withColumn("hit", F.lit(0)).unionByName(near.withColumn("hit", F.lit(1))).groupBy(pair).agg(F.max("hit").alias("near"), F.min("hit").alias("only_near"))
+    found = counts.agg(F.sum("near").alias("rows"), F.sum((F.col("only_near") == 0).cast("bigint")).alias("true"), F.sum(((F.col("only_near") == 0) & (F.col("near") == 1)).cast("bigint")).alias("hits"))
+    return found.select(F.lit(metric).alias("metric"), F.col("rows").cast("bigint").alias("rows"), (F.col("hits") >= RECALL * F.col("true")).alias("recalled"))
+
+
+def _recall_sql(metric: str, neighbors: int) -> str:
+    return f"select '{metric}' as metric, (count(*) * least({neighbors}, count(*) - 1))::bigint as rows, true as recalled from embeddings"
+
+
+@query(_recall_sql("cosine", 14))
+def nn_descent_cosine(spark, sf_dir):
+    return _recall(spark, _rows(spark, sf_dir), "cosine")
+
+
+@query(_recall_sql("int8", 15))
+def nn_descent_int8(spark, sf_dir):
+    return _recall(spark, _rows(spark, sf_dir).withColumn("vector", V.quantize_int8(F.col("vector"))), "int8")
+
+
+@query(_recall_sql("bits", 14))
+def nn_descent_bits(spark, sf_dir):
+    rows = _rows(spark, sf_dir).withColumn("vector", V.pack_signs(F.col("vector"), 64)).withColumn("dim", F.size("vector"))
+    return _recall(spark, rows, "bits")
 
 
 # Reports ------------------------------------------------------------------------------------------------------

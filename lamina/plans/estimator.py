@@ -32,6 +32,15 @@ class Params:
     n_label_prop_iter: int = 20
     seed: int = 42
     metric: str = "cosine"
+    #: Above so many rows neighbours come from forests and neighbour descent; None: all pairs are searched at any size.
+    brute_force_limit: int | None = None
+    n_trees: int = 4
+    leaf_size: int | None = None
+    max_tree_depth: int = 200
+    max_candidates: int | None = None
+    n_descent_rounds: int | None = None
+    delta: float = 0.001
+    improvement_delta: float = 1e-4
     #: Up to so many rows, the stages after the neighbour table run over arrays in one task.
     on_one: int = 20_000
 
@@ -66,15 +75,30 @@ class Clustering:
         return knn.duplicates(self.knn)
 
 
-def neighbors(rows: DataFrame, params: Params) -> DataFrame:
-    return {"cosine": knn.knn_cosine, "int8": knn.knn_int8, "bits": knn.knn_bits}[params.metric](rows, params.n_neighbors)
+def neighbors(rows: DataFrame, params: Params, n: int) -> DataFrame:
+    """The neighbour table of n rows."""
+    if params.brute_force_limit is None or n <= params.brute_force_limit:
+        return knn.TABLES[params.metric][0](rows, params.n_neighbors)
+    return knn.knn_approximate(
+        rows,
+        params.n_neighbors,
+        params.metric,
+        trees=params.n_trees,
+        leaf_size=params.leaf_size,
+        depth=params.max_tree_depth,
+        candidates=params.max_candidates,
+        rounds=params.n_descent_rounds,
+        delta=params.delta,
+        gain=params.improvement_delta,
+        seed=params.seed,
+    )
 
 
 def fit(rows: DataFrame, params: Params = Params()) -> Clustering:
     """Cluster rows (id, vector, dim)."""
     rows = materialize(rows, "vectors")
     n = rows.count()
-    table = materialize(neighbors(rows, params), "knn")
+    table = materialize(neighbors(rows, params, n), "knn")
     k = params.neighbor_scale * min(params.n_neighbors, max(n, 2))
     edges = graph.directed(table, k)
     edges = materialize(graph.fuzzy_union(edges) if params.symmetrize else edges, "edges")

@@ -2,8 +2,6 @@ import pytest
 
 from lamina.plans import catalogue
 
-SLOW = {"nn_descent"}
-
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_its_sql(spark, duck, sf_dir, equal, name):
@@ -11,6 +9,6 @@ def test_query_equals_its_sql(spark, duck, sf_dir, equal, name):
     equal(found, duck.execute(catalogue.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0

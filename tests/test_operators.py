@@ -171,6 +171,28 @@ def test_descent_finds_neighbours(spark):
     assert found.join(true, ["i", "j"]).count() / true.count() > 0.95
 
 
+@pytest.mark.parametrize("metric", ["int8", "bits"])
+def test_approximate_tables_of_other_metrics(spark, metric):
+    vectors, _ = synthetic.sphere_clusters(3, 50, 64, 0.3, 5)
+    held = synthetic.to_table(spark, vectors)
+    held = held.withColumn("vector", V.quantize_int8(F.col("vector")) if metric == "int8" else V.pack_signs(F.col("vector"), 64))
+    held = materialize(held.withColumn("dim", F.size("vector")), "held")
+    exact, near = knn.TABLES[metric][0](held, 8), knn.knn_approximate(held, 8, metric, trees=3, leaf_size=20)
+    assert near.columns == exact.columns
+    whole = exact.toPandas().merge(near.toPandas(), on=["i", "j"], suffixes=("", "_near"))
+    assert len(whole) > 0.9 * exact.count() and np.allclose(whole["dist"], whole["dist_near"])
+
+
+def test_fit_by_descent(spark):
+    vectors, truth = synthetic.sphere_clusters(4, 60, 16, 0.1, 3)
+    params = estimator.Params(brute_force_limit=100, n_trees=3, leaf_size=20, n_descent_rounds=3, delta=0.01)
+    found = estimator.fit(synthetic.to_table(spark, vectors), params)
+    label = found.labels().orderBy("id").toPandas()["label"].to_numpy()
+    for one in set(label.tolist()) - {-1}:  # no label covers two of the clusters
+        assert np.bincount(truth[label == one]).max() > 0.9 * (label == one).sum()
+    assert found.knn.columns == knn.knn_cosine(synthetic.to_table(spark, vectors), 15).columns
+
+
 def test_equal_vectors_split(spark):
     leaves = descent.forest(synthetic.to_table(spark, np.ones((50, 3))), leaf_size=10, trees=1)
     assert leaves.count() == 50 and leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 10
