@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +33,36 @@ def random_units(n: int, width: int, seed: int) -> np.ndarray:
     return unit(np.random.RandomState(seed).normal(size=(n, width)))
 
 
+#: Rows that a block of a generated table draws from one seed.
+BLOCK = 4_096
+
+
+def _generated(spark: SparkSession, n: int, seed: int, draw: Callable[[np.random.RandomState, np.ndarray], np.ndarray], centers: int) -> DataFrame:
+    """id, vector, dim, truth: rows made by tasks, block by block, so that a block is the same wherever it is made."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch["id"].tolist():
+                ids = np.arange(block * BLOCK, min(n, (block + 1) * BLOCK))
+                truth = ids * centers // n
+                vectors = unit(draw(np.random.RandomState([seed, block % 2**32, 1]), truth))
+                yield pd.DataFrame({"id": ids, "vector": list(vectors), "dim": np.int32(vectors.shape[1]), "truth": truth})
+
+    return spark.range(-(-n // BLOCK)).mapInPandas(rows, "id bigint, vector array<double>, dim int, truth bigint")
+
+
+def blob_table(spark: SparkSession, n: int, width: int, centers: int, seed: int, spread: float = 1.0, box: float = 10.0) -> DataFrame:
+    """As blobs, of any number of rows, as a table: id, vector, dim, truth."""
+    middle = np.random.RandomState(seed).uniform(-box, box, size=(centers, width))
+    return _generated(spark, n, seed, lambda rng, truth: middle[truth] + rng.normal(scale=spread, size=(len(truth), width)), centers)
+
+
+def sphere_table(spark: SparkSession, n: int, width: int, centers: int, noise: float, seed: int) -> DataFrame:
+    """As sphere_clusters, of any number of rows, as a table: id, vector, dim, truth."""
+    middle = unit(np.random.RandomState(seed).normal(size=(centers, width)))
+    return _generated(spark, n, seed, lambda rng, truth: middle[truth] + rng.normal(scale=noise, size=(len(truth), width)), centers)
+
+
 def to_table(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
     """id, vector, dim."""
     rows = [(i, v.tolist(), len(v)) for i, v in enumerate(vectors)]

@@ -78,3 +78,16 @@ def test_kernels_agree_on_bits_and_integers(spark):
     b = small.select(F.col("id").alias("j"), F.col("vector").alias("b"))
     raw = found.join(a, "i").join(b, "j").select("raw", V.int8_raw(F.col("a"), F.col("b")).alias("again"))
     assert raw.filter("raw <> again").count() == 0 and raw.count() == 200
+
+
+def test_generated_tables(spark):
+    n = synthetic.BLOCK + 100
+    for made in (synthetic.blob_table(spark, n, 4, 7, 3, 0.1), synthetic.sphere_table(spark, n, 4, 7, 0.01, 3)):
+        held = made.toPandas().sort_values("id").reset_index(drop=True)
+        again = made.repartition(5).toPandas().sort_values("id")
+        assert held["id"].tolist() == list(range(n)) and np.array_equal(np.stack(held["vector"]), np.stack(again["vector"]))
+        vectors, truth = np.stack(held["vector"]), held["truth"].to_numpy()
+        assert np.allclose(np.linalg.norm(vectors, axis=1), 1) and sorted(set(truth)) == list(range(7))
+        middle = np.stack([vectors[truth == c].mean(axis=0) for c in range(7)])
+        assert (np.linalg.norm(vectors - middle[truth], axis=1) < 0.3).mean() > 0.95
+        assert len(np.unique(vectors, axis=0)) == n
