@@ -9,16 +9,17 @@ from lamina.session import materialize
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over links (u, v) with u > v.
+    """One large-star or small-star step over written links (u, v) with u > v.
 
     Each node's neighbours (large: of greater number; small: of less) are hung on the least of the
-    node and its neighbours. The least is an aggregate joined back, so no node's neighbours meet in one row.
+    node and its neighbours. The least is an aggregate joined back, so no node's neighbours meet in one row; it is written
+    before, so that Spark broadcasts it while it is small and else may split the join at a node of very many links.
     """
     if large:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+        links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialize(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        return links.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -33,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     seen = None
     while True:
-        links = materialize(_stars(_stars(links, large=True), large=False), "links")
+        for large in (True, False):
+            links = materialize(_stars(links, large), "links")
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
