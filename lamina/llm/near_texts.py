@@ -31,7 +31,7 @@ from .words import ODD, mix, phrases, word_hashes
 
 SHINGLE = 5
 #: Blocks of 64 bits, and the radius that the masks of a block cover: 31 tables a block.
-BLOCKS, RADIUS = 12, 4
+BLOCKS, RADIUS = 8, 4
 #: Differing bits of all blocks that are still compared: those expected of similarity 0.8, and so many deviations more.
 EXPECTED = math.acos(8 / 9) / math.pi
 FURTHEST = math.ceil(64 * BLOCKS * EXPECTED + 3.5 * math.sqrt(64 * BLOCKS * EXPECTED * (1 - EXPECTED)))
