@@ -38,30 +38,39 @@ class CuckooFilter:
         return (np.asarray(marks, np.uint64) * np.uint64(0x5BD1E995)) & np.uint64(self.buckets - 1)
 
     def insert(self, keys: np.ndarray) -> None:
+        """Keys go to the first free slot of their two buckets, all at once; those that find none move others, one by one."""
         keys = np.asarray(keys, np.int64)
+        marks, one, two = self._places(keys)
+        rest = np.arange(len(keys))
+        for at in (one, two):
+            order = rest[np.argsort(at[rest], kind="stable")]
+            bucket = at[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+            turn = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+            used = self.table[bucket] != 0
+            fits = turn < SLOTS - used.sum(axis=1)
+            slot = np.argsort(used[fits], axis=1, kind="stable")[np.arange(int(fits.sum())), turn[fits]]
+            self.table[bucket[fits], slot] = marks[order[fits]]
+            rest = order[~fits]
         rng = np.random.default_rng(len(keys))
-        table = self.table
-        for key, mark, one, two in zip(keys.tolist(), *(x.tolist() for x in self._places(keys))):
-            for at in (one, two):
-                free = np.flatnonzero(table[at] == 0)
-                if len(free):
-                    table[at, free[0]] = mark
-                    break
-            else:
-                at, moved = two, []
-                for _ in range(KICKS):
-                    slot = int(rng.integers(SLOTS))
-                    moved.append((at, slot, int(table[at, slot])))
-                    mark, table[at, slot] = int(table[at, slot]), mark
-                    at ^= int(self._jump(mark))
-                    free = np.flatnonzero(table[at] == 0)
-                    if len(free):
-                        table[at, free[0]] = mark
-                        break
-                else:
-                    for where, slot, mark in reversed(moved):
-                        table[where, slot] = mark
-                    self.stash.append(key)
+        for key, mark, at in zip(keys[rest].tolist(), marks[rest].tolist(), two[rest].tolist()):
+            self._push(key, mark, at, rng)
+
+    def _push(self, key: int, mark: int, at: int, rng: np.random.Generator) -> None:
+        """Put a mark into a full bucket: what it displaces goes to its other one, and so on."""
+        table, moved = self.table, []
+        for _ in range(KICKS):
+            slot = int(rng.integers(SLOTS))
+            moved.append((at, slot, int(table[at, slot])))
+            mark, table[at, slot] = int(table[at, slot]), mark
+            at ^= int(self._jump(mark))
+            free = np.flatnonzero(table[at] == 0)
+            if len(free):
+                table[at, free[0]] = mark
+                return
+        for where, slot, mark in reversed(moved):
+            table[where, slot] = mark
+        self.stash.append(key)
 
     def delete(self, keys: np.ndarray) -> None:
         """Remove keys that were inserted before; of a key that wasn't, another's mark may go."""
