@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import LOWER, ascii_lower, materialize, named
 
 #: (verdict, host, path) of the production rules.
 RULES = (
@@ -26,6 +26,8 @@ RULES = (
 DEFAULT_VERDICT = "allow"
 #: Longest rule parts that are accepted; they bound the expressions of a URL.
 MAX_LABELS, MAX_PATH = 127, 2048
+#: Most rules, which bounds what Spark may broadcast: 40 MB of the longest rules.
+MAX_RULES = 20_000
 
 
 def split_url() -> tuple[Column, Column]:
@@ -47,14 +49,11 @@ def expressions(host: str, path: str, shapes: Iterable[tuple[int, int]]) -> Colu
     A host with too few labels or a path that is too short has no expression of that shape.
     """
     labels = F.size(F.split(F.col(host), r"\.", -1))
-    made = [
-        F.when(
-            (labels >= n) & (F.length(path) >= length),
-            F.concat(F.substring_index(F.col(host), ".", -n), F.substring(F.col(path), 1, length)),
-        )
-        for n, length in shapes
-    ]
-    return F.array_compact(F.array(*made))
+    able = F.filter(
+        F.array(*[F.struct(F.lit(n).alias("n"), F.lit(length).alias("length")) for n, length in shapes]),
+        lambda shape: (labels >= shape["n"]) & (F.length(path) >= shape["length"]),
+    )
+    return F.transform(able, lambda shape: F.concat(F.call_function("substring_index", F.col(host), F.lit("."), -shape["n"]), F.substring(F.col(path), F.lit(1), shape["length"])))
 
 
 def url_filter(
@@ -66,13 +65,16 @@ def url_filter(
     rule string wins; a block wins over an allow of the same string. rule is null and verdict is
     the default where none fits. A null URL and one without ``://`` have empty host and path. Repeated
     rows are judged each; other columns of pages are not read; an empty table gives no rows.
-    Rules are a parameter of bounded length, so what Spark may broadcast does not grow with pages.
+    Rules are a parameter of bounded number and length, so what Spark may broadcast does not grow with pages. Of
+    hosts, also those of rules, A-Z count as a-z and no other letter changes.
     """
-    rules = sorted({(host.lower(), path, verdict) for verdict, host, path in rules})
+    rules = sorted({(host.translate(LOWER), path, verdict) for verdict, host, path in rules})
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     for host, path, _ in rules:
         if host.count(".") >= MAX_LABELS or len(path) > MAX_PATH:
             raise ValueError(f"rule too long: {host}{path}")
-    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
+    base = pages.select(named(page_id).alias("page_id"), named(url).alias("url"))
     host, path = split_url()
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     if not rules:
@@ -86,7 +88,8 @@ def url_filter(
         .withColumn("short", F.substring("rule_digest", 1, 8))
     )
     shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules})
-    # Every distinct URL is expanded once, however many pages share it.
+    # Every distinct URL is expanded once, however many pages share it. What is found is written, so that Spark knows its
+    # size and may split the last join where many pages share a URL.
     found = (
         base.select("host", "path")
         .distinct()
@@ -98,6 +101,7 @@ def url_filter(
         .groupBy("host", "path")
         .agg(F.max(F.struct("rule_length", "rule_verdict", "rule")).alias("best"))
     )
+    found = materialize(found, "found")
     return base.join(found, ["host", "path"], "left").select(
         "page_id",
         "host",
