@@ -26,8 +26,8 @@ ROW_BYTES = 8
 BUCKETS = 4096
 #: Group boundaries that the search may ask for at once.
 MAX_KNOWN = 50_000
-#: Rows of a group are numbered in so many parts, each on its own.
-SALTS = 64
+#: Rows of a group that are numbered at once, about: a larger group is numbered in parts, each on its own.
+PART_ROWS = 100_000
 
 
 class Boundaries:
@@ -92,6 +92,7 @@ def _groups(rows: DataFrame) -> DataFrame:
         (F.col("b0") + F.sum("bytes").over(upto)).alias("end"),
         (F.col("g0") + F.row_number().over(inside)).alias("rank"),
         (F.col("m0") + F.sum("n").over(upto) - F.col("n")).alias("first_row"),
+        "n",
     )
 
 
@@ -111,7 +112,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
             return bounds.cuts(high, shards, hopeful=False)
         ranks = dict(zip(bounds.ends, bounds.ranks))
         unknown = sum(ranks[b] - ranks[a] for a, b in gaps)
-        stride = max(1, -(-unknown // MAX_KNOWN))
+        # half of the largest gap at most, so that each round learns of a boundary inside it
+        stride = max(1, min(-(-unknown // MAX_KNOWN), max((ranks[b] - ranks[a] for a, b in gaps), default=2) // 2))
         merged: list[list[int]] = []
         for a, b in gaps:
             if merged and merged[-1][1] == a:
@@ -151,16 +153,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
             # "" sorts the group of null texts first
             F.coalesce(F.sha2(binary, 256), F.lit("")).alias("digest"),
         )
-        .withColumn("bucket", F.coalesce(F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"), F.lit(0)))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")),
+        # the first 32 bits of the digest, cut to so many buckets in the digest's order
+        .withColumn("bucket", F.coalesce(F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") * BUCKETS / 2**32).cast("int"), F.lit(0))),
         "rows",
     )
     groups = materialize(_groups(rows), "groups")
+    salts = -(-(groups.agg(F.max("n")).first()[0] or 1) // PART_ROWS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     cuts = minimax_cuts(groups, shards)
     placed = groups.select("digest", _shard(F.col("end"), cuts).alias("shard"), "first_row")
     ahead = placed.groupBy("shard").agg(F.min("first_row").alias("shard_row"))  # one row a shard
     placed = placed.join(F.broadcast(ahead), "shard")
-    # A large group is numbered in SALTS parts; where a part begins comes from counts of the parts.
+    # A large group is numbered in parts; where a part begins comes from counts of the parts.
     parts = rows.groupBy("digest", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("digest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("digest", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_row"))
