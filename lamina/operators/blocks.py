@@ -42,6 +42,7 @@ def search(
     score: str,
     shard_rows: int = SHARD_ROWS,
     block_rows: int = BLOCK_ROWS,
+    *,
     read: Callable[[pa.Table, str], object] = matrix,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of what the kernel finds for each query in each shard.
