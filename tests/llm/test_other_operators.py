@@ -37,6 +37,22 @@ def test_urls_equal_brute_force(spark):
     assert url_filter.url_filter(df, []).filter("verdict = 'allow' and rule is null").count() == len(rows)
 
 
+def test_letters_beyond_a_to_z_and_odd_columns(spark):
+    rows = [(1, "http://ÄB.Com/x"), (2, "http://äb.com/x"), (None, None), (3, "http://a.ÄB.com/xy?q"), (4, "no url"), (4, "no url"), (5, "http://" + "a." * 3000 + "com/" + "p" * 5000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("a.b", F.lit(1)).withColumn("host", F.lit("clash")).withColumn("rule", F.lit(2))
+    found = url_filter.url_filter(df, [("block", "ÄB.COM", "/x"), ("block", "com", "/ppp")])
+    assert sorted((r["page_id"] or 0, r["rule"]) for r in found.collect() if r["rule"]) == [(1, "Äb.com/x"), (3, "Äb.com/x"), (5, "com/ppp")]
+    assert found.count() == 7 and url_filter.url_filter(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.url_filter(df, [("block", f"h{i}", "/") for i in range(url_filter.MAX_RULES + 1)])
+
+
+def test_a_url_of_most_pages(spark):
+    df = spark.range(20_000).selectExpr("id as page_id", "case when id % 10 < 9 then 'http://www.example.com/en/a' else concat('http://h', id, '.net/fr/') end as url")
+    found = url_filter.url_filter(df).groupBy("rule", "verdict").count().collect()
+    assert sorted(map(tuple, found)) == [("net/fr/", "block", 2_000), ("www.example.com/en/", "allow", 18_000)]
+
+
 def test_many_rules(spark):
     rng = random.Random(1)
     rules = [(rng.choice(["allow", "block"]), ".".join(rng.choices(["a", "b", "c"], k=rng.randrange(1, 4))), "/" + "".join(rng.choices("xy/", k=rng.randrange(0, 4)))) for _ in range(60)]
@@ -130,6 +146,31 @@ def test_mixture_meets_its_targets(spark):
     assert sorted(copies) == list(range(1, len(copies) + 1))
 
 
+@pytest.mark.parametrize("total", [1_000, 1_000_000])
+def test_a_rare_source_is_drawn_in_parts(spark, total):
+    """One row stands for nearly the whole mixture: its copies are counted and dealt like those of many rows."""
+    rows = [(i, "t", "a") for i in range(100)] + [(500, "rare", "b"), (501, "rare", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = source_mix.mix_sources(df, {"a": 0.01, "b": 0.99}, total=total)
+    got = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d")).collect()
+    assert all(r["n"] == r["d"] for r in got)
+    of = {r["doc_id"]: r["n"] for r in got}
+    for doc in (500, 501):
+        assert abs(of[doc] - 0.495 * total) < 5 * math.sqrt(0.495 * total)
+    assert of[500] != of[501]
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert total < 10_000 or max(sizes) < 0.6 * total  # few rows end up in one task
+
+
+def test_columns_of_a_mixture(spark):
+    df = spark.createDataFrame([(i, "t" * i, "a") for i in range(50)], "doc_id bigint, text string, source string")
+    odd = df.withColumn("a.b", F.lit(1)).withColumn("mix_key", F.lit(2)).withColumn("Copy", F.lit(3)).withColumn("steps", F.lit(4))
+    found = source_mix.mix_sources(odd, {"a": 1.0}, names=("r", "c", "k"))
+    assert found.columns == [*odd.columns, "r", "c", "k"]
+    assert found.select("`a.b`", "mix_key", "Copy", "steps").distinct().collect() == [(1, 2, 3, 4)]
+    assert sorted(found.select("doc_id", "c").collect()) == sorted(source_mix.mix_sources(df, {"a": 1.0}).select("doc_id", "copy").collect())
+
+
 def test_mixture_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert source_mix.mix_sources(df).count() == 0
@@ -189,6 +230,24 @@ def test_exact_topk_equals_brute_force(spark, monkeypatch, levels, shard):
     assert [tuple(r) for r in exact_topk.exact_topk(few).collect()] == [(0, 1, 1, 256 * 256 * 3)]
 
 
+@pytest.mark.parametrize("size", [4095.0, 4097.0, 5000.0, 1e6])
+def test_components_of_any_size(spark, size):
+    """On both sides of what fits a packed sum, down to the last bit."""
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=8) * (size if i % 7 == 0 else 1.0)).tolist()) for i in range(120)]
+    found = exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=10).collect()
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for query in range(0, 120, 10):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[query], v)), i) for i, v in whole.items() if i != query))[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == [(i, -s) for s, i in scores]
+
+
+def test_a_score_beyond_64_bits_fails(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, -1.0]), (2, [0.5, 0.5])]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+
+
 def test_search_stops_on_proof():
     """On vectors with clear neighbours only a part of the postings is processed, and nothing is lost."""
     rng = np.random.RandomState(1)
