@@ -183,6 +183,19 @@ def test_approximate_tables_of_other_metrics(spark, metric):
     assert len(whole) > 0.9 * exact.count() and np.allclose(whole["dist"], whole["dist_near"])
 
 
+@pytest.mark.parametrize("metric", ["cosine", "bits"])
+def test_descent_finds_neighbours_without_structure(spark, metric):
+    """In noise lists of k alone end far from the neighbours."""
+    held = synthetic.to_table(spark, synthetic.random_units(800, 64, 3))
+    if metric == "bits":
+        held = held.withColumn("vector", V.pack_signs(F.col("vector"), 64))
+    held = materialize(held.withColumn("dim", F.size("vector")), "held")
+    near = materialize(knn.knn_approximate(held, 5, metric, trees=1, leaf_size=10), "near")
+    true = knn.TABLES[metric][0](held, 5)
+    assert near.count() == 800 * 5
+    assert near.join(true.select("i", "j"), ["i", "j"]).count() / true.count() >= 0.9
+
+
 def test_fit_by_descent(spark):
     vectors, truth = synthetic.sphere_clusters(4, 60, 16, 0.1, 3)
     params = estimator.Params(brute_force_limit=100, n_trees=3, leaf_size=20, n_descent_rounds=3, delta=0.01)
