@@ -1,8 +1,9 @@
 """Minimum spanning trees under mutual reachability, as tables (a, b, w) with a < b.
 
 The order of edges is total, (w, a, b), so the tree is unique. Up to on_one rows one task grows the tree over
-blocks of distances; beyond that rounds of blocked search give every row its nearest row in another
-component, each component takes its least such edge, and components along these edges merge.
+blocks of distances; beyond that one blocked search lists the nearest rows of each, each component takes its least
+outgoing edge, and components along these edges merge. A listed edge is taken if it is less than any that lists may lack; when
+no component has such a one, the rows that may have a lesser edge are searched, but for those of the largest component.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ from . import blocks, knn
 from .components import components
 
 
+#: Links whose components one task finds; more are joined.
+LINKS = 1_000_000
+#: Neighbours of a row that are listed at first, and rows that a search compares with a shard at once.
+LISTED, SEARCHED = 16, 256
+
+
 def distances(columns: np.ndarray, point: np.ndarray) -> np.ndarray:
     """Euclidean distances of vectors (one a column) from a point. Squares are added in the order of the components, as
     those of core distances are, so that edges as long as a core distance are exactly so and ties are broken by ids."""
@@ -71,46 +78,106 @@ def _on_one(cored: DataFrame) -> DataFrame:
     return cored.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(grow, "a bigint, b bigint, w double")
 
 
-def nearest_outside(rows: DataFrame) -> DataFrame:
-    """i, j, w: for each row (id, vector, core, comp) its nearest row of another component."""
-    packed = rows.select("id", F.concat("vector", F.array("core", F.col("comp").cast("double"))).alias("vector"))
-    packed = packed.withColumn("dim", F.size("vector"))
+def nearest_outside(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """i, j, w: for each row of asked its nearest row of another component; rows and asked: id, vector, core, comp."""
+
+    def packed(some: DataFrame) -> DataFrame:
+        some = some.select("id", F.concat("vector", F.array("core", F.col("comp").cast("double"))).alias("vector"))
+        return some.withColumn("dim", F.size("vector"))
 
     def kernel(ids, matrix, query_ids, queries):
         found, others, scores = [], [], []
-        columns, core, comp = np.ascontiguousarray(matrix[:, :-2].T), matrix[:, -2], matrix[:, -1]
-        for i, query in zip(query_ids.tolist(), queries):
-            reach = np.maximum(distances(columns, query[:-2]), np.maximum(core, query[-2]))
-            reach[comp == query[-1]] = np.inf
-            least = reach.min()
-            if np.isfinite(least):
+        vectors, core, comp = matrix[:, :-2], matrix[:, -2], matrix[:, -1]
+        squares = (vectors * vectors).sum(axis=1)
+        for start in range(0, len(queries), SEARCHED):
+            some = queries[start : start + SEARCHED]
+            own = (some[:, :-2] ** 2).sum(axis=1)[:, None]
+            rough = np.maximum(squares + own - 2 * some[:, :-2] @ vectors.T, np.maximum(core, some[:, -2:-1]) ** 2)
+            rough[comp == some[:, -1:]] = np.inf
+            slack = 1e-9 * max(1.0, float(squares.max(initial=0)), float(own.max(initial=0)))
+            for i, query, far in zip(query_ids[start : start + SEARCHED].tolist(), some, rough):
+                able = np.flatnonzero(far <= far.min() + slack)
+                if not np.isfinite(far[able[0]]):
+                    continue
+                reach = np.maximum(distances(np.ascontiguousarray(vectors[able].T), query[:-2]), np.maximum(core[able], query[-2]))
                 found.append(i)
-                others.append(ids[reach == least].min())
-                scores.append(-least)
+                others.append(ids[able][reach == reach.min()].min())
+                scores.append(-reach.min())
         return np.array(found, np.int64), np.array(others, np.int64), np.array(scores)
 
-    near = blocks.search(packed, packed, kernel, 1, "double")
+    near = blocks.search(packed(rows), packed(asked), kernel, 1, "double")
     return near.select(F.col("query_id").alias("i"), F.col("vec_id").alias("j"), (-F.col("score")).alias("w"))
 
 
-def boruvka(cored: DataFrame) -> DataFrame:
-    """Rounds of least outgoing edges until one component is left; at most log2 of the rows."""
-    rows = materialize(cored.withColumn("comp", F.col("id")), "rows")
-    tree = None
+def _edges(near: DataFrame, state: DataFrame) -> DataFrame:
+    """a, b, w and x, y, the components of a and b, of edges i, j, w."""
+    near = near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "w").distinct()
+    one, two = (state.select(F.col("id").alias(s), F.col("comp").alias(c)) for s, c in (("a", "x"), ("b", "y")))
+    return near.join(one, "a").join(two, "b").select("a", "b", "w", "x", "y").filter("x <> y")
+
+
+def _merged(links: DataFrame, on_one: int = LINKS) -> DataFrame:
+    """node, component (the least node reachable) of written links (a, b)."""
+    if links.count() > on_one:
+        return components(links)
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        nodes, ends = np.unique(held[["a", "b"]].to_numpy(), return_inverse=True)
+        top, (a, b) = np.arange(len(nodes)), ends.reshape(-1, 2).T
+        while (top[a] != top[b]).any():
+            low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+            np.minimum.at(top, high, low)
+            while (top[top] != top).any():
+                top = top[top]
+        return pd.DataFrame({"node": nodes, "component": nodes[top]})
+
+    return links.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "node bigint, component bigint")
+
+
+def boruvka(cored: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Rounds of least outgoing edges until one component is left; rows: id, vector, core.
+
+    Edges to rows that a list lacks are no less than the core distance of its row and the distance of its last entry.
+    """
+    rows = materialize(cored.select("id", "vector", "core").withColumn("dim", F.size("vector")), "rows")
+    found = blocks.search(rows, rows, knn.euclidean_kernel(listed), listed, "double")
+    near = materialize(found.select(F.col("query_id").alias("i"), F.col("vec_id").alias("j"), F.sqrt(-F.col("score")).alias("d")), "listed")
+    last = near.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= listed, F.max("d")).alias("d"))
+    least = F.greatest("core", F.coalesce("d", F.lit(float("inf"))))
+    state = materialize(rows.join(last, "id", "left").select("id", F.col("id").alias("comp"), "core", least.alias("least")), "state")
+    one, two = (state.select(F.col("id").alias(s), F.col("core").alias(f"core_{s}")) for s in "ij")
+    reach = near.join(one, "i").join(two, "j").select("i", "j", F.greatest("d", "core_i", "core_j").alias("w"))
+    edges, tree = materialize(_edges(reach, state), "edges"), None
+    edge = F.struct("w", "a", "b", "x", "y")
     while True:
-        near = materialize(nearest_outside(rows), "near")
-        owned = near.join(rows.select(F.col("id").alias("i"), "comp"), "i")
-        edge = F.struct("w", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        chosen = owned.groupBy("comp").agg(F.min(edge).alias("e")).select("e.a", "e.b", "e.w").distinct()
-        chosen = materialize(chosen, "chosen")
+        ends = edges.select(F.col("x").alias("comp"), edge.alias("e")).unionByName(edges.select(F.col("y").alias("comp"), edge.alias("e")))
+        best = state.groupBy("comp").agg(F.min("least").alias("lacking"), F.count("*").alias("n")).join(ends.groupBy("comp").agg(F.min("e").alias("e")), "comp", "left")
+        best = materialize(best, "best")
+        chosen = materialize(best.filter("e.w < lacking").select("e.*").distinct(), "chosen")
         if not chosen.limit(1).count():
-            break
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        merged = components(tree.select("a", "b")).select(F.col("node").alias("id"), "component")
-        rows = materialize(
-            rows.drop("comp").join(merged, "id", "left").select("id", "vector", "core", F.coalesce("component", "id").alias("comp")), "rows"
-        )
-    return tree.distinct() if tree is not None else cored.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
+            largest = best.orderBy(F.desc("n"), "comp").limit(2).collect()
+            if len(largest) < 2:
+                break
+            others = best.filter(F.col("comp") != largest[0]["comp"])
+            able = state.join(others.select("comp", "e"), "comp").filter("e is null or least <= e.w").select("id")
+            placed = materialize(rows.join(state.select("id", "comp"), "id"), "placed")
+            asked = materialize(placed.join(able, "id"), "asked")
+            more = _edges(nearest_outside(placed, asked), state)
+            more = more.select(F.col("x").alias("comp"), edge.alias("e")).unionByName(more.select(F.col("y").alias("comp"), edge.alias("e")))
+            more = more.join(others.select("comp"), "comp").unionByName(others.filter("e is not null").select("comp", "e"))
+            chosen = materialize(more.groupBy("comp").agg(F.min("e").alias("e")).select("e.*").distinct(), "chosen")
+            if not chosen.limit(1).count():
+                break
+        tree = chosen.select("a", "b", "w") if tree is None else tree.unionByName(chosen.select("a", "b", "w"))
+        merged = materialize(_merged(chosen.select(F.col("x").alias("a"), F.col("y").alias("b"))), "merged")
+
+        def renamed(held: DataFrame, name: str) -> DataFrame:
+            into = merged.select(F.col("node").alias(name), "component")
+            return held.join(into, name, "left").withColumn(name, F.coalesce("component", name)).drop("component")
+
+        state = materialize(renamed(state, "comp"), "state")
+        edges = materialize(renamed(renamed(edges, "x"), "y").filter("x <> y"), "edges")
+    return tree if tree is not None else cored.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
 
 
 def components_at(tree: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:

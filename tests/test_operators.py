@@ -183,6 +183,19 @@ def test_approximate_tables_of_other_metrics(spark, metric):
     assert len(whole) > 0.9 * exact.count() and np.allclose(whole["dist"], whole["dist_near"])
 
 
+def test_trees_as_jobs_search_few_rows(spark, monkeypatch):
+    """Most edges come from one search of lists; copies and ties of mutual reachability give the tree of one task."""
+    x = synthetic.random_units(70, 8, 3)
+    x = np.concatenate([x, x[:10], np.repeat(x[:1], 6, axis=0)])
+    core = np.sort(np.stack([spanning.distances(np.ascontiguousarray(x.T), p) for p in x]), axis=1)[:, 5]
+    wanted = sorted((min(a, b), max(a, b), w) for a, b, w in spanning.prim(np.arange(len(x)), x, core).tolist())
+    asked, search = [], spanning.nearest_outside
+    monkeypatch.setattr(spanning, "nearest_outside", lambda rows, some: asked.append(some.count()) or search(rows, some))
+    found = spanning.spanning_tree(materialize(synthetic.to_table(spark, x), "held"), 5, on_one=0)
+    assert sorted(map(tuple, found.collect())) == wanted
+    assert sum(asked) < len(x)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "bits"])
 def test_descent_finds_neighbours_without_structure(spark, metric):
     """In noise lists of k alone end far from the neighbours."""
