@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a shard and queries of a block: what one task holds.
@@ -40,7 +40,7 @@ def search(
     kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     k: int,
     score: str,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | Column = SHARD_ROWS,
     block_rows: int = BLOCK_ROWS,
     *,
     read: Callable[[pa.Table, str], object] = matrix,
@@ -51,6 +51,7 @@ def search(
     has a bounded size and every query meets every shard once. Only vectors of equal width meet. The
     kernel gets ids and matrix of a shard, ids and matrix of a block, and returns query ids, ids and
     scores, at most k for each query; ties must go to the smaller id. read makes what the kernel gets of the vectors.
+    shard_rows may depend on dim.
     """
     sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     asked = queries.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))

@@ -70,20 +70,83 @@ def inner_product_kernel(k: int):
     return kernel
 
 
+#: Queries that are compared with a shard at once, rows of it whose best stands for all, and pairs that are scored at once.
+ASKED, TOGETHER, PAIRS = 128, 64, 1 << 20
+#: Rows of a shard for Euclidean distances, in vectors of up to 64 components; SHARD_ROWS at least in wider ones.
+LARGE_SHARD, LARGE_BLOCK = 65_536, 8_192
+
+
 def euclidean_kernel(k: int):
+    """Products in single precision, with the bound of their rounding errors, rule rows out; the rest is scored exactly.
+
+    The k-th best of the groups' best rows is no better than the k-th best row, so nothing worse by twice the bound counts.
+    """
+
     def kernel(ids, rows, query_ids, queries):
-        squares = (rows * rows).sum(axis=1)
-        rough = 2 * queries @ rows.T - squares - (queries * queries).sum(axis=1)[:, None]
-        slack = 1e-9 * max(1.0, float(squares.max(initial=0)))
-        found = [
-            _top(rough[n], slack, lambda some, q=q: -_in_order(rows[some], q, lambda x, y: (y - x) * (y - x)), ids, own, k)
-            for n, (own, q) in enumerate(zip(query_ids.tolist(), queries))
-        ]
-        return _gather(query_ids, found)
+        order = np.argsort(ids, kind="stable")
+        ids, rows = ids[order], rows[order]
+        n, width = rows.shape
+        middle = rows.mean(axis=0)
+        near = rows - middle
+        scale = float(np.abs(near).max()) * width**0.5 or 1.0  # all norms are below
+        near /= scale
+        held = np.zeros((-(-n // TOGETHER) * TOGETHER, width + 1), np.float32)
+        held[:n, :width], held[:n, width], held[n:, width] = near, -0.5 * (near * near).sum(axis=1), -np.inf
+        offset = max(float(np.abs(rows).max()), float(np.abs(middle).max())) * width**0.5 / scale
+        del near
+        held, columns = np.ascontiguousarray(held.T), np.ascontiguousarray(rows.T)
+        groups = held.shape[1] // TOGETHER
+        found = []
+        for start in range(0, len(queries), ASKED):
+            own, some = query_ids[start : start + ASKED], queries[start : start + ASKED]
+            asked = np.ones((len(some), width + 1), np.float32)
+            far = (some - middle) / scale
+            asked[:, :width] = far
+            norm = np.sqrt((far * far).sum(axis=1))
+            slack = (width + 8) * (2.0**-22 * (norm + 0.5) + 2.0**-50 * (norm * norm + (offset + norm) * (norm + 1)))
+            rough = asked @ held
+            at = np.minimum(np.searchsorted(ids, own), n - 1)
+            hit = np.flatnonzero(ids[at] == own)
+            rough[hit, at[hit]] = -np.inf
+            if groups > k and 1e-140 < scale < 1e140:  # else squares overflow or vanish
+                best = np.partition(rough.reshape(len(some), groups, TOGETHER).max(axis=2), groups - k, axis=1)[:, groups - k]
+                least = np.nextafter((best - 2 * slack).astype(np.float32), np.float32(-np.inf))
+                places = np.flatnonzero(~(rough < least[:, None]))
+            else:
+                places = np.arange(rough.size)
+            q, r = np.divmod(places, rough.shape[1])
+            able = r < n
+            able[able] = ids[r[able]] != own[q[able]]
+            q, r = q[able], r[able]
+            ends = np.searchsorted(q, np.arange(len(some) + 1))
+            first = 0
+            while first < len(some):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + PAIRS, side="right")) - 1)
+                found.append(_scored(columns, some.T, r[ends[first] : ends[last]], q[ends[first] : ends[last]], k, ids, own))
+                first = last
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     return kernel
 
 
+def _scored(columns: np.ndarray, asked: np.ndarray, r: np.ndarray, q: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray):
+    """The k nearest of the pairs of each query: squares are added from the first component to the last."""
+    total = np.zeros(len(r))
+    for row, query in zip(columns, asked):
+        gap = query[q] - row[r]
+        total += gap * gap
+    order = np.lexsort((r, total, q))  # rows are in order of ids
+    q = q[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return own[q[best]], ids[r[order[best]]], -total[order[best]]
+
+
+def euclidean_search(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score (the negative square) of the k nearest of all rows, without the row itself."""
+    shard = F.least(F.lit(LARGE_SHARD), F.greatest(F.lit(blocks.SHARD_ROWS), F.floor(F.lit(64 * LARGE_SHARD) / F.col("dim"))))
+    return blocks.search(rows, rows, euclidean_kernel(k), k, "double", shard_rows=shard, block_rows=LARGE_BLOCK)
+
+
 def jaccard_kernel(k: int):
     def kernel(ids, rows, query_ids, queries):
         bits = rows.astype(np.int64)
@@ -214,7 +277,7 @@ def knn_approximate(rows: DataFrame, k: int = 15, metric: str = "cosine", **opti
 
 def knn_euclidean(rows: DataFrame, k: int, squared: bool = False) -> DataFrame:
     """k nearest by Euclidean distance, with the row itself first."""
-    found = blocks.search(rows, rows, euclidean_kernel(k - 1), k - 1, "double") if k > 1 else None
+    found = euclidean_search(rows, k - 1) if k > 1 else None
     own = rows.select(F.col("id").alias("i"), F.lit(0).alias("rank"), F.col("id").alias("j"), F.lit(0.0).alias("dist"))
     if found is None:
         return own

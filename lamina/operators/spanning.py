@@ -23,6 +23,8 @@ from .components import components
 LINKS = 1_000_000
 #: Neighbours of a row that are listed at first, and rows that a search compares with a shard at once.
 LISTED, SEARCHED = 16, 256
+#: Listed neighbours of all rows that one task joins; more are joined by jobs.
+ARRAYS = 4_000_000
 
 
 def distances(columns: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -61,10 +63,9 @@ def prim(ids: np.ndarray, rows: np.ndarray, core: np.ndarray) -> np.ndarray:
 
 def spanning_tree(rows: DataFrame, min_samples: int = 1, on_one: int = 20_000) -> DataFrame:
     """a, b, w of the tree over rows (id, vector); core distances are those of neighbour number min_samples."""
-    cored = rows.join(knn.core_distances(rows, min_samples), "id").select("id", "vector", "core")
     if rows.count() <= on_one:
-        return _on_one(cored)
-    return boruvka(cored)
+        return _on_one(rows.join(knn.core_distances(rows, min_samples), "id").select("id", "vector", "core"))
+    return boruvka(rows, min_samples)
 
 
 def _on_one(cored: DataFrame) -> DataFrame:
@@ -123,28 +124,126 @@ def _merged(links: DataFrame, on_one: int = LINKS) -> DataFrame:
 
     def run(held: pd.DataFrame) -> pd.DataFrame:
         nodes, ends = np.unique(held[["a", "b"]].to_numpy(), return_inverse=True)
-        top, (a, b) = np.arange(len(nodes)), ends.reshape(-1, 2).T
-        while (top[a] != top[b]).any():
-            low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
-            np.minimum.at(top, high, low)
-            while (top[top] != top).any():
-                top = top[top]
+        top = _tops(np.arange(len(nodes)), *ends.reshape(-1, 2).T)
         return pd.DataFrame({"node": nodes, "component": nodes[top]})
 
     return links.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "node bigint, component bigint")
 
 
-def boruvka(cored: DataFrame, listed: int = LISTED) -> DataFrame:
-    """Rounds of least outgoing edges until one component is left; rows: id, vector, core.
+def _tops(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node the least that links a, b and its own top reach; top: the least node of each one's component."""
+    while (top[a] != top[b]).any():
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top = top[top]
+    return top
 
-    Edges to rows that a list lacks are no less than the core distance of its row and the distance of its last entry.
+
+def joined(least: np.ndarray, own: np.ndarray, other: np.ndarray, w: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the edges taken, the component of each row, and the rows to be searched next (none: the tree is done).
+
+    own, other: places of the ends of edges, own that of the row that lists it; least: edges of a row that it doesn't list weigh
+    no less; step: 0 for listed edges, else the number of the search that found it. Each call does all rounds again, those
+    after a search with what it found.
+    """
+    order = np.lexsort((np.maximum(own, other), np.minimum(own, other), w))
+    own, other, w, step = own[order], other[order], w[order], step[order]
+    n, none, searches = len(least), len(w), int(step.max(initial=0))
+    comp, least, taken, now = np.arange(n), least.copy(), [], 0
+    live = np.arange(none)
+
+    def firsts() -> np.ndarray:
+        """For each component its least known edge that leaves it."""
+        some, first = live[step[live] <= now], np.full(n, none)
+        for ends in (own, other):
+            np.minimum.at(first, comp[ends[some]], some)
+        return first
+
+    while True:
+        live = live[comp[own[live]] != comp[other[live]]]
+        first = firsts()
+        at = np.append(w, np.inf)[first]
+        # a found edge is the very least of its row while it leaves the component; after that others may be as long
+        bound, met = least.copy(), live[(step[live] > 0) & (step[live] <= now)]
+        met = met[w[met] == least[own[met]]]
+        bound[own[met]] = np.nextafter(w[met], np.inf)
+        lacking = np.full(n, np.inf)
+        np.minimum.at(lacking, comp, bound)
+        chosen = np.unique(first[(first < none) & (at < lacking)])
+        if not len(chosen):
+            largest = int(np.bincount(comp, minlength=1).argmax())
+            asked = np.flatnonzero((comp != largest) & (bound <= at[comp]) & (bound < np.inf))
+            if not len(asked) or now == searches:
+                break
+            now += 1
+            new = np.flatnonzero(step == now)
+            least[asked] = np.inf
+            least[own[new]] = w[new]
+            first = firsts()
+            first[largest] = none
+            chosen = np.unique(first[first < none])
+            if not len(chosen):
+                asked = asked[:0]
+                break
+        taken.append(chosen)
+        comp = _tops(comp, own[chosen], other[chosen])
+    return order[np.concatenate([np.zeros(0, np.int64), *taken])], comp, asked
+
+
+def _by_arrays(rows: DataFrame, points: DataFrame, near: DataFrame) -> DataFrame:
+    """The tree, its rounds in one task and only searches of rows as jobs; points: id, core, least; near: i, j, d."""
+
+    def run(held: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("id")
+        ids, core = held["id"].to_numpy(), held["core"].to_numpy()
+        i, j = np.searchsorted(ids, links["i"].to_numpy()), np.searchsorted(ids, links["j"].to_numpy())
+        w = np.maximum(links["d"].to_numpy(), np.maximum(core[i], core[j]))
+        taken, comp, asked = joined(held["least"].to_numpy(), i, j, w, links["step"].to_numpy())
+        again = np.zeros(len(ids))
+        again[asked] = 1
+        tree = pd.DataFrame({"edge": True, "a": ids[np.minimum(i, j)[taken]], "b": ids[np.maximum(i, j)[taken]], "w": w[taken]})
+        return pd.concat([tree, pd.DataFrame({"edge": False, "a": ids, "b": ids[comp], "w": again})])
+
+    links, step = near.select("i", "j", "d", F.lit(0).alias("step")), 0
+    while True:
+        both = points.withColumn("one", F.lit(0)).groupBy("one").cogroup(links.withColumn("single", F.lit(0)).groupBy("single"))
+        found = materialize(both.applyInPandas(run, "edge boolean, a bigint, b bigint, w double"), "found")
+        again = found.filter("not edge and w > 0").select(F.col("a").alias("id"))
+        if not again.limit(1).count():
+            return found.filter("edge").select("a", "b", "w")
+        step += 1
+        comps = found.filter("not edge").select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        placed = materialize(rows.join(points.select("id", "core"), "id").join(comps, "id").select("id", "vector", "core", "comp"), "placed")
+        more = nearest_outside(placed, materialize(placed.join(again, "id"), "asked"))
+        links = links.unionByName(materialize(more.select("i", "j", F.col("w").alias("d"), F.lit(step).alias("step")), "more"))
+
+
+def boruvka(rows: DataFrame, min_samples: int = 1, listed: int = LISTED, arrays: int = ARRAYS) -> DataFrame:
+    """Rounds of least outgoing edges until one component is left; rows: id, vector.
+
+    One search gives lists and core distances. Edges to rows that a list lacks are no less than the core distance of its row
+    and the distance of its last entry.
     """
-    rows = materialize(cored.select("id", "vector", "core").withColumn("dim", F.size("vector")), "rows")
-    found = blocks.search(rows, rows, knn.euclidean_kernel(listed), listed, "double")
-    near = materialize(found.select(F.col("query_id").alias("i"), F.col("vec_id").alias("j"), F.sqrt(-F.col("score")).alias("d")), "listed")
-    last = near.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= listed, F.max("d")).alias("d"))
-    least = F.greatest("core", F.coalesce("d", F.lit(float("inf"))))
-    state = materialize(rows.join(last, "id", "left").select("id", F.col("id").alias("comp"), "core", least.alias("least")), "state")
+    listed = max(listed, min_samples)
+    rows = materialize(rows.select("id", "vector").withColumn("dim", F.size("vector")), "rows")
+    found = knn.euclidean_search(rows, listed)
+    near = materialize(found.select(F.col("query_id").alias("i"), "rank", F.col("vec_id").alias("j"), F.sqrt(-F.col("score")).alias("d")), "listed")
+    held = near.groupBy(F.col("i").alias("id")).agg(
+        F.max(F.when(F.col("rank") <= min_samples, F.col("d"))).alias("core"), F.when(F.count("*") >= listed, F.max("d")).alias("d")
+    )
+    core = F.coalesce("core", F.lit(0.0)) if min_samples > 1 else F.lit(0.0)
+    points = rows.select("id").join(held, "id", "left").select("id", core.alias("core"), F.coalesce("d", F.lit(float("inf"))).alias("d"))
+    points = materialize(points.select("id", "core", F.greatest("core", "d").alias("least")), "points")
+    if near.count() <= arrays:
+        return _by_arrays(rows, points, near)
+    return _by_jobs(rows, points, near)
+
+
+def _by_jobs(rows: DataFrame, points: DataFrame, near: DataFrame) -> DataFrame:
+    """The tree, its rounds as joins and aggregations; points: id, core, least; near: i, j, d."""
+    rows = materialize(rows.join(points.select("id", "core"), "id"), "rows")
+    state = materialize(points.select("id", F.col("id").alias("comp"), "core", "least"), "state")
     one, two = (state.select(F.col("id").alias(s), F.col("core").alias(f"core_{s}")) for s in "ij")
     reach = near.join(one, "i").join(two, "j").select("i", "j", F.greatest("d", "core_i", "core_j").alias("w"))
     edges, tree = materialize(_edges(reach, state), "edges"), None
@@ -177,7 +276,7 @@ def boruvka(cored: DataFrame, listed: int = LISTED) -> DataFrame:
 
         state = materialize(renamed(state, "comp"), "state")
         edges = materialize(renamed(renamed(edges, "x"), "y").filter("x <> y"), "edges")
-    return tree if tree is not None else cored.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
+    return tree if tree is not None else rows.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
 
 
 def components_at(tree: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:

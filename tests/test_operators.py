@@ -196,6 +196,36 @@ def test_trees_as_jobs_search_few_rows(spark, monkeypatch):
     assert sum(asked) < len(x)
 
 
+def test_a_tree_searches_all_rows_once(spark, monkeypatch):
+    """One search gives lists and core distances; rounds over arrays and rounds as jobs give the tree of one task."""
+    x = synthetic.random_units(60, 4, 5)
+    x = np.concatenate([x, x[:20], np.repeat(x[:1], 20, axis=0), np.round(x * 2)])
+    core = np.sort(np.stack([spanning.distances(np.ascontiguousarray(x.T), p) for p in x]), axis=1)[:, 3]
+    wanted = sorted((min(a, b), max(a, b), w) for a, b, w in spanning.prim(np.arange(len(x)), x, core).tolist())
+    held = materialize(synthetic.to_table(spark, x), "held")
+    whole, search = [], knn.blocks.search
+    monkeypatch.setattr(knn.blocks, "search", lambda rows, some, *a, **b: whole.append(some is rows) or search(rows, some, *a, **b))
+    assert sorted(map(tuple, spanning.spanning_tree(held, 3, on_one=0).collect())) == wanted
+    assert sum(whole) == 1
+    assert sorted(map(tuple, spanning.boruvka(held, 3, arrays=0).collect())) == wanted
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_single_precision_rules_no_neighbour_out(shift):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(900, 5)), rng.integers(0, 3, (900, 5)), rng.normal(size=(300, 5)) * 1e-6]) + shift
+    ids, k = rng.permutation(len(x)), 3
+    found = knn.euclidean_kernel(k)(ids, x, ids[::7], x[::7])
+    at = 0
+    for own, query in zip(ids[::7], x[::7]):
+        far = sum((query[d] - x[:, d]) ** 2 for d in range(5))
+        some = np.flatnonzero(ids != own)
+        some = some[np.lexsort((ids[some], far[some]))[:k]]
+        assert [f[at : at + k].tolist() for f in found] == [[own] * k, ids[some].tolist(), (-far[some]).tolist()]
+        at += k
+    assert at == len(found[0])
+
+
 @pytest.mark.parametrize("metric", ["cosine", "bits"])
 def test_descent_finds_neighbours_without_structure(spark, metric):
     """In noise lists of k alone end far from the neighbours."""
