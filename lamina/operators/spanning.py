@@ -281,5 +281,5 @@ def _by_jobs(rows: DataFrame, points: DataFrame, near: DataFrame) -> DataFrame:
 
 def components_at(tree: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     """id, component: the least id that edges of at most threshold reach."""
-    found = components(tree.filter(F.col("w") <= threshold).select("a", "b"))
+    found = _merged(materialize(tree.filter(F.col("w") <= threshold).select("a", "b"), "short"))
     return ids.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

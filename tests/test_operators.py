@@ -56,6 +56,13 @@ def test_components(spark):
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_of_a_tree_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(spanning, "components", None)
+    tree = spark.createDataFrame([(1, 2, 0.5), (2, 5, 1.0), (3, 5, 1.5), (3, 4, 0.25)], "a bigint, b bigint, w double")
+    found = spanning.components_at(tree, spark.range(1, 7), 1.0)
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (5, 1), (3, 3), (4, 3), (6, 6)}
+
+
 def test_labels_reach_everyone(spark):
     edges = spark.createDataFrame([(a, a + 1, 0.5) for a in range(9)] + [(a + 1, a, 0.5) for a in range(9)], "i bigint, j bigint, w double")
     labels = spark.createDataFrame([(0, 3)] + [(i, -1) for i in range(1, 12)], "id bigint, label bigint")
