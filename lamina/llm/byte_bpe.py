@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, portions, slices
+from .common import lasting, named, portions, slices, worker
 
 #: Pieces longer than this contract all that leftmost-first order would contract at one rank in a round.
 LONG_PIECE = 256
@@ -289,12 +289,12 @@ def _numbers(ids: pa.Array, n: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n.to_numpy()))).astype(np.int32)), flat)
 
 
-@lru_cache(maxsize=1)
+@lasting
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_ranks(path))
 
 
-@lru_cache(maxsize=1)
+@lasting
 def _encoder(path: str, pattern: str) -> Encoder:
     """One for all tasks of a worker, so that what it has encoded is of use to the next."""
     return Encoder(Codec(_vocabulary(path)), pattern)
@@ -328,16 +328,17 @@ def coder(path: str, pattern: str, outputs: tuple[str, ...]):
 
     @F.arrow_udf(", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(path, pattern)
-        for texts in batches:
-            parts = []
-            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
-                coded = encoder.encode(part.column("text"))
-                parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
-            if not parts:
-                coded = encoder.encode(pa.array([], pa.string()))
-                parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
-            yield pa.concat_arrays(parts)
+        with worker(_vocabulary, _encoder):
+            encoder = _encoder(path, pattern)
+            for texts in batches:
+                parts = []
+                for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
+                    coded = encoder.encode(part.column("text"))
+                    parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+                if not parts:
+                    coded = encoder.encode(pa.array([], pa.string()))
+                    parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+                yield pa.concat_arrays(parts)
 
     return code
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,35 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
+#: What Python workers keep from task to task.
+_lasting: list = []
+
+
+def lasting(make: Callable) -> Callable:
+    """make with its last result kept, which tasks of an operator share in a worker until those of another begin."""
+    cached = lru_cache(maxsize=1)(make)
+    _lasting.append(cached)
+    return cached
+
+
+@contextmanager
+def worker(*own: Callable) -> Iterator[None]:
+    """Around the work of a task: what only tasks of other operators use is let go first, and free memory is given back at the end.
+
+    Workers outlive stages; what one stage leaves would be held beside the memory of the next.
+    """
+    for cached in _lasting:
+        if cached not in own:
+            cached.cache_clear()
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ascii_lower, materialize, named, unused
+from .common import NO_ID, ascii_lower, materialize, named, unused, worker
 from .cuckoo import CuckooFilter
 
 MIN_LENGTH = 10
@@ -75,8 +75,9 @@ def _update(key: tuple, filters: pd.DataFrame, changes: pd.DataFrame) -> pd.Data
 def _probe(refs: pa.Table, filters: pa.Table) -> pa.Table:
     if not len(filters) or not len(refs):
         return refs.select(["doc", "digest"]).slice(0, 0)
-    held = CuckooFilter.from_bytes(filters.column("filter")[0].as_py())
-    return refs.select(["doc", "digest"]).filter(pa.array(held.contains(refs.column("h").to_numpy())))
+    with worker():
+        held = CuckooFilter.from_bytes(filters.column("filter")[0].as_py())
+        return refs.select(["doc", "digest"]).filter(pa.array(held.contains(refs.column("h").to_numpy())))
 
 
 @dataclass
@@ -173,23 +174,24 @@ def _rebuilder(min_length: int):
 
     @F.arrow_udf("kept_text string, n_lines bigint, n_dropped bigint")
     def rebuild(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for whole, lists in batches:
-            texts, counts, dropped = [], [], []
-            for value, drops in zip(whole, lists):
-                value = value.as_py() or ""
-                lines = value.split("\n")
-                counts.append(len(lines))
-                if drops.is_valid:
-                    gone, kept = set(drops.as_py()), []
-                    for line in lines:
-                        key = line.strip(BLANKS).encode().lower()
-                        if not (len(key) >= min_length and hashlib.sha256(key).digest() in gone and len(key.decode()) >= min_length):
-                            kept.append(line)
-                    value, lines = "\n".join(kept), kept
-                texts.append(value)
-                dropped.append(counts[-1] - len(lines))
-            columns = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.StructArray.from_arrays(columns, ["kept_text", "n_lines", "n_dropped"])
+        with worker():
+            for whole, lists in batches:
+                texts, counts, dropped = [], [], []
+                for value, drops in zip(whole, lists):
+                    value = value.as_py() or ""
+                    lines = value.split("\n")
+                    counts.append(len(lines))
+                    if drops.is_valid:
+                        gone, kept = set(drops.as_py()), []
+                        for line in lines:
+                            key = line.strip(BLANKS).encode().lower()
+                            if not (len(key) >= min_length and hashlib.sha256(key).digest() in gone and len(key.decode()) >= min_length):
+                                kept.append(line)
+                        value, lines = "\n".join(kept), kept
+                    texts.append(value)
+                    dropped.append(counts[-1] - len(lines))
+                columns = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
+                yield pa.StructArray.from_arrays(columns, ["kept_text", "n_lines", "n_dropped"])
 
     return rebuild
 

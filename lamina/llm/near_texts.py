@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators.components import components
 
-from .common import NO_ID, keep_first, materialize, named, slices
+from .common import NO_ID, keep_first, materialize, named, slices, worker
 from .simhash import HASH_SEED, covering_masks
 from .words import ODD, mix, phrases, word_hashes
 
@@ -86,14 +86,15 @@ def _prints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
     columns = [f"f{i}" for i in range(BLOCKS)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                sets = shingles(_bytes(part.column("text")), shingle)
-                found = fingerprints(sets).view(np.int64)
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], np.uint64).view(np.int64)
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                arrays = [part.column("doc"), part.column("mark"), pa.array(node), sizes, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(BLOCKS))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "mark", "node", "n", *columns])
+        with worker():
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    sets = shingles(_bytes(part.column("text")), shingle)
+                    found = fingerprints(sets).view(np.int64)
+                    node = np.array([xxhash.xxh64_intdigest(s.tobytes(), HASH_SEED) for s in sets], np.uint64).view(np.int64)
+                    sizes = pa.array([len(s) for s in sets], pa.int64())
+                    arrays = [part.column("doc"), part.column("mark"), pa.array(node), sizes, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(BLOCKS))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc", "mark", "node", "n", *columns])
 
     kinds = ", ".join(f"{c} bigint" for c in ["doc", "mark", "node", "n", *columns])
     return materialize(rows.mapInArrow(made, kinds), "near_prints")
@@ -144,7 +145,11 @@ def _met(bucket_pairs: int):
                 cut, held = [cut[0], keys[-1]], [np.zeros(0, np.int64)] * 2
         yield rows(True, *held)  # the task after may have more of it
 
-    return scan
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with worker():
+            yield from scan(batches)
+
+    return task
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
@@ -159,10 +164,11 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, do
     rows = docs.select(F.coalesce(named(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(named(text)).alias("mark"), named(text).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                sets = [s.view(np.int64) for s in shingles(_bytes(part.column("text")), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+        with worker():
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    sets = [s.view(np.int64) for s in shingles(_bytes(part.column("text")), shingle)]
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     texts = rows.join(asked, ["doc", "mark"]).select("node", "text")
     sets = materialize(texts.mapInArrow(made, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "near_sets")

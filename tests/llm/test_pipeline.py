@@ -5,7 +5,9 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
-from lamina.llm import source_mix
+import public_tokenizers as vocabularies
+import pyarrow as pa
+from lamina.llm import near_texts, source_mix
 from lamina.session import materialize
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ import brute  # noqa: E402
 import test_near_texts as near  # noqa: E402
 
 
+def test_workers_keep_nothing_of_other_stages(spark, sf_dir):
+    """A worker that has coded texts and scored words holds neither table while it makes fingerprints."""
+
+    def held(batches):
+        from lamina.llm import byte_bpe, language_id
+
+        path = vocabularies.path("byte_bpe_50k.tiktoken")
+        for some in batches:
+            byte_bpe._encoder(path, vocabularies.PATTERN)
+            language_id._pieces(vocabularies.path("piece_bpe_32k.model"))
+            list(near_texts._met(4)(iter([])))
+            yield some.slice(0, 1).set_column(0, "id", pa.array([byte_bpe._encoder.cache_info().currsize + language_id._pieces.cache_info().currsize], pa.int64()))
+
+    assert spark.range(1, numPartitions=1).mapInArrow(held, "id bigint").collect() == [(0,)]
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, held = docs.columns, [docs.toPandas()]
