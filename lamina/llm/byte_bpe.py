@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lasting, named, portions, slices, worker
+from .common import give_back, lasting, named, portions, slices, worker
 
 #: Pieces longer than this contract all that leftmost-first order would contract at one rank in a round.
 LONG_PIECE = 256
@@ -335,6 +335,8 @@ def coder(path: str, pattern: str, outputs: tuple[str, ...]):
                 for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
                     coded = encoder.encode(part.column("text"))
                     parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+                    del coded
+                    give_back()  # a slice leaves many times its size
                 if not parts:
                     coded = encoder.encode(pa.array([], pa.string()))
                     parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))

@@ -33,6 +33,14 @@ def lasting(make: Callable) -> Callable:
     return cached
 
 
+def give_back() -> None:
+    """Give memory that allocators hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def worker(*own: Callable) -> Iterator[None]:
     """Around the work of a task: what only tasks of other operators use is let go first, and free memory is given back at the end.
@@ -45,10 +53,7 @@ def worker(*own: Callable) -> Iterator[None]:
     try:
         yield
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-        if trim:
-            trim(0)
+        give_back()
 
 
 def ascii_lower(col: Column) -> Column:

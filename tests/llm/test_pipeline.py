@@ -7,7 +7,7 @@ from pathlib import Path
 import corpus_pipeline
 import public_tokenizers as vocabularies
 import pyarrow as pa
-from lamina.llm import near_texts, source_mix
+from lamina.llm import byte_bpe, near_texts, source_mix
 from lamina.session import materialize
 from pyspark.sql import functions as F
 
@@ -32,6 +32,15 @@ def test_workers_keep_nothing_of_other_stages(spark, sf_dir):
     assert spark.range(1, numPartitions=1).mapInArrow(held, "id bigint").collect() == [(0,)]
 
 
+def test_slices_give_memory_back(spark, monkeypatch):
+    backs = []
+    monkeypatch.setattr(byte_bpe, "give_back", lambda: backs.append(1))
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 4)
+    code = byte_bpe.coder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, ("n_tokens",))
+    assert [len(x) for x in code.func(iter([pa.array(["one", "two", "three"])]))] == [3]
+    assert len(backs) == 3
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, held = docs.columns, [docs.toPandas()]
