@@ -8,7 +8,6 @@ to the smaller id. Work is blocked: see blocks.search.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,72 +160,6 @@ def jaccard_kernel(k: int):
     return kernel
 
 
-class Sparse:
-    """Sparse vectors of a table: of each the ascending places and, after them, the values in one array."""
-
-    def __init__(self, table: pa.Table, column: str):
-        lists = table.column(column).combine_chunks()
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        ends = ends - ends[0]
-        sizes = np.diff(ends) // 2
-        inside = np.arange(len(flat)) - np.repeat(ends[:-1], 2 * sizes)
-        first = inside < np.repeat(sizes, 2 * sizes)
-        self.places, self.values = flat[first].astype(np.int64), flat[~first]
-        self.ends = np.concatenate(([0], np.cumsum(sizes)))
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-
-    def dense(self, start: int, width: int) -> np.ndarray:
-        """The columns from start on, as a matrix."""
-        out = np.zeros((len(self.ends) - 1, width))
-        some = np.flatnonzero((self.places >= start) & (self.places < start + width))
-        out[self.of[some], self.places[some] - start] = self.values[some]
-        return out
-
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.places[self.ends[i] : self.ends[i + 1]], self.values[self.ends[i] : self.ends[i + 1]]
-
-
-def sparse_kernel(k: int, width: int, columns: int = 2_048):
-    """Greatest inner products of sparse vectors. Products are added in the order of the places, as if the vectors were dense."""
-
-    def kernel(ids, rows: Sparse, query_ids, queries: Sparse):
-        rough = np.zeros((len(query_ids), len(ids)))
-        for start in range(0, width, columns):
-            rough += queries.dense(start, columns) @ rows.dense(start, columns).T
-        found, others, scores = [], [], []
-        for n, (own, row) in enumerate(zip(query_ids.tolist(), rough)):
-            some = np.flatnonzero(ids != own)
-            if len(some) > k:
-                some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k] - 1e-9]
-            places, values = queries.row(n)
-            exact = np.zeros(len(some))
-            if len(places):
-                for at, i in enumerate(some.tolist()):
-                    if row[i]:
-                        theirs, weights = rows.row(i)
-                        _, mine, other = np.intersect1d(places, theirs, assume_unique=True, return_indices=True)
-                        total = 0.0
-                        for product in (values[mine] * weights[other]).tolist():
-                            total += product
-                        exact[at] = total
-            best = blocks.best_of(exact, ids[some], k)
-            found.append(np.full(len(best), own))
-            others.append(ids[some][best])
-            scores.append(exact[best])
-        return np.concatenate(found), np.concatenate(others), np.concatenate(scores)
-
-    return kernel
-
-
-def knn_sparse(rows: DataFrame, k: int, width: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k rows of greatest inner product, without the row itself.
-
-    rows: id, places (ascending, below width) and values. Rows without a place take part with product 0.
-    """
-    packed = rows.select("id", F.concat(F.col("places").cast("array<double>"), "values").alias("vector"), F.lit(width).alias("dim"))
-    return blocks.search(packed, packed, sparse_kernel(k, width), k, "double", shard_rows=2_048, block_rows=1_024, read=Sparse)
-
-
 def _with_self(rows: DataFrame, others: DataFrame, own: Column) -> DataFrame:
     first = rows.select(F.col("id").alias("i"), F.lit(0).alias("rank"), F.col("id").alias("j"), own.alias("score"))
     return first.unionByName(others.select(F.col("query_id").alias("i"), "rank", F.col("vec_id").alias("j"), "score"))

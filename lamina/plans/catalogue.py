@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import text as T
 from lamina.functions import vectors as V
-from lamina.operators import descent, embed, graph, hierarchy, knn, layers, propagate, report, spanning
+from lamina.operators import descent, embed, graph, hierarchy, knn, layers, propagate, report, spanning, sparse
 from lamina.plans import estimator
 from lamina.plans.oracles import rounded, sql
 from lamina.session import materialize, read_table
@@ -709,11 +709,11 @@ from d a join d b on a.id <> b.id left join s on s.i = a.id and s.j = b.id quali
     )
 )
 def doc_knn_bow(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    held = T.hashed_bag(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    every = docs.select("doc_id").distinct().join(held, "doc_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<bucket:bigint,weight:double>>")))
-    rows = every.select(F.col("doc_id").alias("id"), F.col("m.bucket").alias("places"), V.l2_normalize_floor(F.col("m.weight")).alias("values"))
-    found = knn.knn_sparse(materialize(rows, "bags"), 5, T.BUCKETS)
+    docs = read_table(spark, sf_dir, "documents").filter("doc_id is not null")
+    shared = materialize(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shared")
+    single, several = (docs.join(shared, "doc_id", how) for how in ("left_anti", "left_semi"))
+    rows = T.unit_bags(single, "doc_id", "text").unionByName(T.merged_unit_bags(several, "doc_id", "text"))
+    found = sparse.knn_sparse(rows, 5, T.BUCKETS)
     return found.select(F.col("query_id").alias("i"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("j"), r6("score").alias("sim"))
 
 
