@@ -79,7 +79,7 @@ def bag_norms(bag: DataFrame, doc_id: str) -> DataFrame:
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOWER = bytes(range(256)).lower()
 _DROPPED = bytes(x for x in range(256) if not chr(x).isalnum() and x not in b" \t\n\x0b\x0c" or x > 127)
-TEXTS, WORDS = 256, 500_000
+TEXTS, WORDS = 256, 200_000
 
 
 class _Places(dict):

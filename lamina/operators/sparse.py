@@ -8,7 +8,9 @@ can't rule out is scored exactly: products are added in the order of the places,
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from lamina.session import materialize
 from . import blocks
 
 #: Rows, and entries, of a part and of a chunk, in which parts are stored; least number of parts where there are rows for them.
-PART_ROWS, PART_PLACES, CHUNK_ROWS, CHUNK_PLACES, PARTS = 32_768, 8_388_608, 2_048, 524_288, 12
+PART_ROWS, PART_PLACES, CHUNK_ROWS, CHUNK_PLACES, PARTS = 24_576, 6_291_456, 2_048, 524_288, 12
 #: Below so many rows one part is enough.
 ONE_PART = 2_048
 #: Queries that are compared with a part at once, and rows whose best stands for all; products of lists, and queries, at once.
@@ -32,7 +34,7 @@ SAMPLE_ROWS, SAMPLE_PLACES, KINDS, STEPS = 4_096, 2_048, 8, 8
 #: Values are 0 or at least so large, and at most its inverse, so that products keep their accuracy in single precision.
 LEAST = 1e-15
 #: Numbers of a dense matrix at most.
-MATRIX = 50_000_000
+MATRIX = 25_000_000
 PACKED = "id bigint, digest binary, n int, gaps binary, codes binary, levels binary"
 
 
@@ -94,23 +96,28 @@ class Bags:
     known: a score that as many rows as are sought reach.
     """
 
-    def __init__(self, tables: list[pa.Table], width: int):
-        table = pa.concat_tables(tables)
-        self.ids = table.column("id").to_numpy()
-        self.known = table.column("known").to_numpy() if "known" in table.column_names else np.zeros(len(self.ids))
-        gaps, self.sizes = _flat(table, "gaps", _kind(width))
+    def __init__(self, tables: Iterable[pa.Table], width: int):
+        ids, known, sizes, places, values = [], [], [], [], []
+        for table in tables:  # one after the other, as what lies between takes much more memory
+            ids.append(table.column("id").to_numpy())
+            known.append(table.column("known").to_numpy() if "known" in table.column_names else np.zeros(len(table)))
+            gaps, size = _flat(table, "gaps", _kind(width))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            total = np.cumsum(gaps, dtype=np.int64)
+            total -= np.repeat(np.concatenate(([0], total))[ends[:-1]], size)
+            sizes.append(size)
+            places.append(total.astype(np.int32))
+            codes, _ = _flat(table, "codes", _kind(width))
+            levels, held = _flat(table, "levels", np.float64)
+            values.append(levels[np.repeat(np.cumsum(held) - held, size) + codes])
+        self.ids, self.known, self.sizes, self.places = (np.concatenate(x) for x in (ids, known, sizes, places))
+        del places
+        self.values = np.concatenate(values)
         self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
-        total = np.cumsum(gaps, dtype=np.int64)
-        total -= np.repeat(np.concatenate(([0], total))[self.ends[:-1]], self.sizes)
-        self.places = total.astype(np.int32)
-        del total, gaps
-        codes, _ = _flat(table, "codes", _kind(width))
-        levels, held = _flat(table, "levels", np.float64)
-        self.values = levels[np.repeat(np.cumsum(held) - held, self.sizes) + codes]
 
     @classmethod
     def of(cls, chunks: list[bytes], width: int) -> Bags:
-        return cls([pa.ipc.open_stream(x).read_all() for x in chunks], width)
+        return cls((pa.ipc.open_stream(x).read_all() for x in chunks), width)
 
     def of_rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), self.sizes)
@@ -162,15 +169,22 @@ def meet(left: Bags, right: Bags | None, k: int, width: int):
     column = np.full(width, -1, np.int32)
     column[head] = np.arange(len(head))
     dense = np.zeros((len(head), wide), np.float32)
-    of, at = right.of_rows(), column[right.places]
-    dense[at[at >= 0], of[at >= 0]] = right.values[at >= 0]
-    rest = np.flatnonzero(at < 0)
-    rest = rest[np.argsort(right.places[rest].astype(np.uint16 if width <= 65_536 else np.int32), kind="stable")]
-    # Row and value of an entry in one number: the value is the lower half.
-    entries = of[rest] << 32 | right.values[rest].astype(np.float32).view(np.uint32)
+    rest, lines = [], []
+    for start in range(0, n, CHUNK_ROWS):
+        stop = min(n, start + CHUNK_ROWS)
+        some = slice(right.ends[start], right.ends[stop])
+        places, values = right.places[some], right.values[some].astype(np.float32)
+        of, at = np.repeat(np.arange(start, stop), right.sizes[start:stop]), column[places]
+        dense[at[at >= 0], of[at >= 0]] = values[at >= 0]
+        # Row and value of an entry in one number: the value is the lower half.
+        lines.append(of[at < 0] << 32 | values[at < 0].view(np.uint32))
+        rest.append(places[at < 0].astype(_kind(width)))
+    entries = np.concatenate(lines)
+    del lines
+    entries = entries[np.argsort(np.concatenate(rest), kind="stable")]
+    del rest
     ends = np.concatenate(([0], np.cumsum(np.where(column < 0, held[1], 0))))
     lists = np.diff(ends)
-    del of, at, rest
     best = np.repeat(right.known[None], k, axis=0).astype(np.float32)  # of each right row: scores that k rows reach
     found, offered = [], []
     for start in range(0, len(left.ids), ASKED):
@@ -291,6 +305,15 @@ def _nodes(packed: DataFrame, width: int) -> DataFrame:
     return materialize(rows.mapInArrow(some, f"{PACKED}, kind int").withColumn("class", F.floor(2 * F.log2("n")).cast("int")), "nodes")
 
 
+def _trim() -> None:
+    """Give free memory back: workers keep what other tasks had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _write(table: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -311,6 +334,7 @@ def _inside(chunks: DataFrame, parts: int, k: int, width: int) -> DataFrame:
             for part, chunk in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 held.setdefault(part, []).append(chunk)
         for part, chunks in held.items():
+            _trim()
             bags = Bags.of(chunks, width)
             found = _found(meet(bags, None, k, width))
             empty = [pa.nulls(len(found), t) for t in (pa.int32(), pa.binary())]
@@ -344,6 +368,7 @@ def _between(chunks: DataFrame, parts: int, k: int, width: int) -> DataFrame:
                 cells.setdefault((a, b), {}).setdefault(part, []).append(held)
         while cells:
             (a, b), held = cells.popitem()
+            _trim()
             if len(held) == 2:
                 yield _found(meet(Bags.of(held.pop(a), width), Bags.of(held.pop(b), width), k, width))
 
