@@ -22,7 +22,7 @@ from lamina.session import materialize
 from . import blocks
 
 #: Rows, and entries, of a part and of a chunk, in which parts are stored; least number of parts where there are rows for them.
-PART_ROWS, PART_PLACES, CHUNK_ROWS, CHUNK_PLACES, PARTS = 24_576, 6_291_456, 2_048, 524_288, 12
+PART_ROWS, PART_PLACES, CHUNK_ROWS, CHUNK_PLACES, PARTS = 20_480, 5_242_880, 2_048, 524_288, 12
 #: Below so many rows one part is enough.
 ONE_PART = 2_048
 #: Queries that are compared with a part at once, and rows whose best stands for all; products of lists, and queries, at once.
@@ -34,7 +34,7 @@ SAMPLE_ROWS, SAMPLE_PLACES, KINDS, STEPS = 4_096, 2_048, 8, 8
 #: Values are 0 or at least so large, and at most its inverse, so that products keep their accuracy in single precision.
 LEAST = 1e-15
 #: Numbers of a dense matrix at most.
-MATRIX = 25_000_000
+MATRIX = 20_000_000
 PACKED = "id bigint, digest binary, n int, gaps binary, codes binary, levels binary"
 
 
@@ -117,7 +117,9 @@ class Bags:
 
     @classmethod
     def of(cls, chunks: list[bytes], width: int) -> Bags:
-        return cls((pa.ipc.open_stream(x).read_all() for x in chunks), width)
+        bags = cls((pa.ipc.open_stream(x).read_all() for x in chunks), width)
+        _trim()
+        return bags
 
     def of_rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), self.sizes)
