@@ -12,16 +12,17 @@ to make a pair of lesser rank, the bytes of that pair would be a token whose own
 all contractions inside these bytes so far have been its own. is_ordered() checks it, and other vocabularies are refused.
 
 A task cuts its documents into slices of bounded size, and keeps what it has encoded in a table of bounded
-size; nothing is shuffled. Only texts pass through Python: what is made of them is added to their rows.
+size, as columns, which loses the pieces of fewest slices when it is full; nothing is shuffled. Only texts pass
+through Python: what is made of them is added to their rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -31,19 +32,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lasting, named, portions, slices, worker
+from .common import give_back, lasting, named, slices, worker
 
 #: Pieces longer than this contract all that leftmost-first order would contract at one rank in a round.
 LONG_PIECE = 256
 #: Rounds that one query runs for long pieces.
 LONG_ROUNDS = 32
 #: Bytes of the pieces of one query.
-QUERY_BYTES = 256 << 10
-#: Bytes of the table of pieces that a task keeps encoded, and of text that it holds at once, about.
-KEPT_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
-#: Blank next to a space, or a space at an end: only other spaces surely begin a piece.
-UNSURE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}] | [\t-\r\x{1c}-\x{20}\x{85}\p{Z}]|\A | \z"
-SURE = re.compile(r"(?<=\S) (?=\S)")
+QUERY_BYTES = 128 << 10
+#: Bytes of the table of pieces that a worker keeps encoded, and of text that a task holds at once, about.
+KEPT_BYTES, SLICE_BYTES = 32 << 20, 2 << 20
+#: Pieces that are strings of Python at once, about; texts of more characters are cut bit by bit.
+CUT_PIECES, CUT_CHARS = 1 << 16, 1 << 20
 
 #: A row is a token with its right neighbour and the token that the two make, if any. The pair that is
 #: contracted takes over its right row's neighbour, the row before it sees a new neighbour, and only these
@@ -101,7 +101,7 @@ order by piece, pos
 """
 
 DECODE = """
-select t.piece, string_agg(v.hex, '' order by t.pos) as hex from tokens t join vocabulary v on v.token = t.token group by t.piece
+select t.piece, unhex(string_agg(v.hex, '' order by t.pos)) as bytes from tokens t join vocabulary v on v.token = t.token group by t.piece order by t.piece
 """
 
 
@@ -144,7 +144,9 @@ class Codec:
     """Encodes and decodes pieces by recursive queries over one DuckDB connection."""
 
     def __init__(self, vocabulary: Vocabulary, memory: str = "200MB"):
-        self.ranks, self.single = vocabulary.ranks, vocabulary.single
+        self.single = vocabulary.single
+        self.names = pa.array(vocabulary.ranks, pa.large_binary())
+        self.numbers = np.fromiter(vocabulary.ranks.values(), np.int32, len(vocabulary.ranks))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         for name, rows in (("merges", vocabulary.merges), ("vocabulary", vocabulary.tokens)):
             self.db.register("rows", rows)
@@ -152,55 +154,56 @@ class Codec:
         self.db.unregister("rows")
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of each piece."""
+        return self.tokens(pa.array(pieces, pa.large_binary())).to_pylist()
+
+    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        """The bytes of each list of ids."""
+        return self.joined(pa.array(ids, pa.large_list(pa.int32()))).to_pylist()
+
+    def tokens(self, pieces: pa.LargeBinaryArray) -> pa.LargeListArray:
         """Token ids of each piece. A piece that is a token is that token."""
-        whole = [self.ranks.get(p) for p in pieces]
-        rest = [i for i, rank in enumerate(whole) if rank is None and pieces[i]]
-        out = [[] if rank is None else [rank] for rank in whole]
-        short = [i for i in rest if len(pieces[i]) <= LONG_PIECE]
-        long = [i for i in rest if len(pieces[i]) > LONG_PIECE]
-        for some in portions(short, [len(pieces[i]) for i in short], QUERY_BYTES):
-            for i, (tokens, _) in zip(some, self._contract(ENCODE, *self._single([pieces[i] for i in some]))):
-                out[i] = tokens
-        for some in portions(long, [len(pieces[i]) for i in long], QUERY_BYTES):
-            tokens, lengths = self._single([pieces[i] for i in some])
-            while some:  # so many rounds at a time, as a query keeps the rows of all its rounds
-                left = []
-                for i, (found, rounds) in zip(some, self._contract(ENCODE_LONG.format(rounds=LONG_ROUNDS), tokens, lengths)):
-                    out[i] = found
-                    if rounds == LONG_ROUNDS:
-                        left.append(i)
-                some, lengths = left, np.array([len(out[i]) for i in left], np.int64)
-                tokens = np.concatenate([np.zeros(0, np.int32), *(np.array(out[i], np.int32) for i in left)])
-        return out
-
-    def _single(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all bytes, and how many there are in each piece."""
-        return self.single[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces], np.int64)
-
-    def _contract(self, query: str, token: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[list[int], int]]:
-        """Tokens of each piece after the query's rounds, and how many rounds it took part in."""
+        whole = pc.index_in(pieces, value_set=self.names)
+        is_whole = whole.is_valid().to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(pieces).to_numpy()
+        at = [np.flatnonzero(is_whole)]
+        made = [pa.LargeListArray.from_arrays(np.arange(len(at[0]) + 1), self.numbers[whole.drop_null().to_numpy()])]
+        for some in _portions(np.flatnonzero(~is_whole & (sizes <= LONG_PIECE)), sizes):
+            at.append(some)
+            made.append(self._contract(ENCODE, self.single[_flat(pieces.take(some))], sizes[some])[0])
+        for some in _portions(np.flatnonzero(~is_whole & (sizes > LONG_PIECE)), sizes):
+            tokens, lengths = self.single[_flat(pieces.take(some))], sizes[some]
+            while len(some):  # so many rounds at a time, as a query keeps the rows of all its rounds
+                found, rounds = self._contract(ENCODE_LONG.format(rounds=LONG_ROUNDS), tokens, lengths)
+                done, left = np.flatnonzero(rounds < LONG_ROUNDS), np.flatnonzero(rounds == LONG_ROUNDS)
+                at.append(some[done])
+                made.append(found.take(done))
+                found, some = found.take(left), some[left]
+                tokens, lengths = found.flatten().to_numpy(), found.value_lengths().to_numpy()
+        return pa.concat_arrays(made).take(np.argsort(np.concatenate(at)))
+
+    def _contract(self, query: str, token: np.ndarray, lengths: np.ndarray) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Tokens of each piece after the query's rounds, and how many rounds it took part in. No length is zero."""
         piece, pos = _positions(lengths)
         last = np.append(piece[1:] != piece[:-1], True)
         right = {"right_pos": pa.array(pos + 1, mask=last), "right_token": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}
         self.db.register("start", pa.table({"piece": piece, "pos": pos, "token": token} | right))
         found = self.db.execute(query).fetchnumpy()
-        tokens, rounds = found["token"].tolist(), found["round"]
         ends = np.searchsorted(found["piece"], np.arange(len(lengths)), side="right")
-        rounds = rounds[ends - 1].tolist()
-        ends = ends.tolist()
-        for start, end, n in zip([0, *ends], ends, rounds):
-            yield tokens[start:end], n
+        return pa.LargeListArray.from_arrays(np.concatenate(([0], ends)), pa.array(found["token"], pa.int32())), np.asarray(found["round"])[ends - 1]
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+    def joined(self, ids: pa.LargeListArray) -> pa.LargeBinaryArray:
         """The bytes of each list of ids."""
-        lengths = np.array([len(x) for x in ids], np.int64)
-        if not lengths.sum():
-            return [b""] * len(ids)
-        piece, pos = _positions(lengths)
-        flat = np.fromiter((t for x in ids for t in x), np.int32, int(lengths.sum()))
-        self.db.register("tokens", pa.table({"piece": piece, "pos": pos, "token": flat}))
-        found = dict(self.db.execute(DECODE).fetchall())
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
+        lengths = ids.value_lengths().to_numpy().astype(np.int64)
+        filled, made = np.flatnonzero(lengths), []
+        for some in _portions(filled, lengths):
+            piece, pos = _positions(lengths[some])
+            self.db.register("tokens", pa.table({"piece": piece, "pos": pos, "token": ids.take(some).flatten()}))
+            made.append(self.db.sql(DECODE).to_arrow_table().column("bytes").cast(pa.large_binary()))
+        empty = np.full(len(ids) - len(filled), b"", object)
+        made.append(pa.chunked_array([pa.array(empty, pa.large_binary())]))
+        at = np.argsort(np.concatenate((filled, np.flatnonzero(lengths == 0))))
+        return pa.concat_arrays([c for m in made for c in m.chunks]).take(at)
 
 
 def _positions(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,84 +212,97 @@ def _positions(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece, (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
 
-def _bytes(item: tuple[str, tuple[bytes, int, bytes]]) -> int:
-    """About the memory of an item of the table."""
-    piece, (ids, _, decoded) = item
-    return 320 + len(piece) + len(ids) + len(decoded)
+def _portions(at: np.ndarray, weights: np.ndarray) -> Iterator[np.ndarray]:
+    """Cut at so that the weights of a cut add up to QUERY_BYTES, or it is one item."""
+    ends = np.cumsum(weights[at])
+    start = 0
+    while start < len(at):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + QUERY_BYTES, side="right"))
+        end = max(end, start + 1)
+        yield at[start:end]
+        start = end
+
+
+def _flat(values: pa.LargeBinaryArray) -> np.ndarray:
+    """The bytes of all values, end to end."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
 
 
 class Encoder:
-    """Encodes whole texts: cuts them into chunks and pieces and asks the codec for pieces it hasn't kept."""
+    """Encodes whole texts: cuts them into pieces and asks the codec for pieces it hasn't kept."""
 
     def __init__(self, codec: Codec, pattern: str):
         self.codec, self.pattern = codec, regex.compile(pattern)
-        self.kept: dict[str, tuple[bytes, int, bytes]] = {}
-        self.used = 0
-
-    def lookup(self, chunks: list[str]) -> list[tuple[bytes, int, bytes]]:
-        """For each chunk its ids (decimal, joined by blanks), their number, and the decoded bytes."""
-        cut = [self.pattern.findall(c) for c in chunks]
-        pieces = dict.fromkeys(p for c in cut for p in c)
-        if self.used > KEPT_BYTES:  # what these chunks need stays
-            self.kept = {p: self.kept[p] for p in pieces if p in self.kept}
-            self.used = sum(map(_bytes, self.kept.items()))
-        kept = self.kept
-        missing = [p for p in pieces if p not in kept]
-        ids = self.codec.encode([p.encode() for p in missing])
-        for piece, tokens, decoded in zip(missing, ids, self.codec.decode(ids)):
-            kept[piece] = coded = (" ".join(map(str, tokens)).encode(), len(tokens), decoded)
-            self.used += _bytes((piece, coded))
-        out = []
-        for found in cut:
-            if len(found) == 1:
-                out.append(kept[found[0]])
+        #: Pieces with their tokens and what these decode to, and in how many slices each was, halved when the table was full.
+        self.kept = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.large_string(), pa.large_list(pa.int32()), pa.large_binary())], ["piece", "ids", "decoded"])
+        self.uses = np.zeros(0, np.int32)
+        self.decimals = pa.array(map(str, range(int(codec.numbers.max()) + 1)), pa.large_string())
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Where the pieces of each text begin and end, and the pieces of all texts."""
+        made, some, ends, n = [], [], [0], 0
+
+        def put() -> None:
+            made.append(pa.array(some, pa.large_string()))
+            some.clear()
+
+        for text in texts:
+            text = text.as_py() or ""
+            if len(text) <= CUT_CHARS:
+                found = self.pattern.findall(text)
+                n += len(found)
+                some += found
             else:
-                coded = [kept[p] for p in found]
-                out.append((b" ".join([c[0] for c in coded]), sum([c[1] for c in coded]), b"".join([c[2] for c in coded])))
-        return out
-
-    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """ids as strings, numbers of ids, decoded bytes of each text."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        unsure = pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(texts, " ")
-        offsets, flat = parts.offsets.to_numpy(), parts.values
-        starts = np.zeros(len(flat), bool)
-        starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        # all but the first chunk of a text begin with the space that was cut
-        flat = pc.binary_join_element_wise(pa.array(np.where(starts, "", " "), pa.large_string()), flat, pa.scalar("", pa.large_string()))
-        if unsure.any():
-            lists = [_chunks(t.as_py()) if u else None for t, u in zip(texts, unsure)]
-            pieces = [pa.array(c, pa.large_string()) if c is not None else flat.slice(a, b - a) for c, a, b in zip(lists, offsets[:-1], offsets[1:])]
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-            flat = pa.concat_arrays(pieces) if pieces else flat
-        coded = flat.dictionary_encode()
-        found = self.lookup(coded.dictionary.to_pylist())
-        offsets = pa.array(offsets, pa.int64())
-
-        def joined(column: int, between: bytes) -> pa.Array:
-            values = pa.array([f[column] for f in found], pa.large_binary()).take(coded.indices)
-            return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(between, pa.large_binary()))
-
-        numbers = np.array([f[1] for f in found] + [0], np.int64)[np.append(coded.indices.to_numpy(), len(found))]
-        sums = np.concatenate(([0], np.cumsum(numbers[:-1])))
-        at = offsets.to_numpy()
-        return joined(0, b" "), pa.array(sums[at[1:]] - sums[at[:-1]]), joined(2, b"")
-
-
-def _chunks(text: str) -> list[str]:
-    """A text cut before each space between two characters that aren't blank; none of an empty text."""
-    if not text:
-        return []
-    first, *rest = SURE.split(text)
-    return [first, *(" " + c for c in rest)]
-
-
-def _numbers(ids: pa.Array, n: pa.Array) -> pa.ListArray:
-    """Lists of ids from their decimal forms."""
-    flat = pc.split_pattern(ids.cast(pa.large_string()), " ").values
-    flat = flat.filter(pc.not_equal(flat, "")).cast(pa.int32())
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n.to_numpy()))).astype(np.int32)), flat)
+                matches = self.pattern.finditer(text)
+                while found := [m[0] for m in islice(matches, CUT_PIECES)]:
+                    n += len(found)
+                    some += found
+                    put()
+            ends.append(n)
+            if len(some) >= CUT_PIECES:
+                put()
+        put()
+        return np.array(ends, np.int64), pa.concat_arrays(made).dictionary_encode()
+
+    def lookup(self, pieces: pa.LargeStringArray) -> tuple[pa.LargeListArray, pa.LargeBinaryArray]:
+        """Tokens of each of these distinct pieces, and what they decode to."""
+        at = pc.index_in(pieces, value_set=self.kept.column("piece"))
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        self.uses[at[~new]] += 1
+        at[new] = len(self.kept) + np.arange(new.sum())
+        missing = pieces.filter(pa.array(new))
+        ids = self.codec.tokens(missing.cast(pa.large_binary()))
+        made = pa.RecordBatch.from_arrays([missing, ids, self.codec.joined(ids)], self.kept.schema.names)
+        self.kept = pa.concat_batches([self.kept, made])
+        self.uses = np.append(self.uses, np.ones(len(made), np.int32))
+        found = self.kept.column("ids").take(at), self.kept.column("decoded").take(at)
+        if self.kept.nbytes > KEPT_BYTES:
+            self._shrink()
+        return found
+
+    def _shrink(self) -> None:
+        """Keep the pieces of most slices, of as many the newest, in half of the bytes."""
+        piece, ids, decoded = self.kept.columns
+        sizes = 24 + sum(x.to_numpy() for x in (pc.binary_length(piece), pc.multiply(ids.value_lengths(), 4), pc.binary_length(decoded)))
+        order = np.lexsort((np.arange(len(sizes)), self.uses))[::-1]
+        stay = np.sort(order[np.cumsum(sizes[order]) <= KEPT_BYTES // 2])
+        self.kept, self.uses = self.kept.take(pa.array(stay)), (self.uses[stay] + 1) // 2
+
+    def encode(self, texts: pa.Array) -> tuple[pa.LargeListArray, pa.Array, pa.Array]:
+        """ids, their numbers, and decoded bytes of each text."""
+        ends, pieces = self.cut(texts)
+        ids, decoded = self.lookup(pieces.dictionary)
+        at = pieces.indices
+        ids, decoded = ids.take(at), decoded.take(at)
+        ends_of_ids = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))[ends]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(ends, decoded), pa.scalar(b"", pa.large_binary()))
+        return pa.LargeListArray.from_arrays(ends_of_ids, ids.flatten()), pa.array(np.diff(ends_of_ids)), joined
+
+    def written(self, ids: pa.LargeListArray) -> pa.Array:
+        """ids in decimal form, joined by blanks."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets, self.decimals.take(ids.values)), pa.scalar(" ", pa.large_string()))
 
 
 @lasting
@@ -319,11 +335,11 @@ def coder(path: str, pattern: str, outputs: tuple[str, ...]):
         return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
 
     made = {
-        "ids": lambda ids, n, decoded: _numbers(ids, n),
-        "n_tokens": lambda ids, n, decoded: n,
-        "decoded": lambda ids, n, decoded: decoded.cast(pa.binary()),
-        "ids_sha256": lambda ids, n, decoded: digest(ids),
-        "decoded_sha256": lambda ids, n, decoded: digest(decoded),
+        "ids": lambda encoder, ids, n, decoded: ids.cast(pa.list_(pa.int32())),
+        "n_tokens": lambda encoder, ids, n, decoded: n,
+        "decoded": lambda encoder, ids, n, decoded: decoded.cast(pa.binary()),
+        "ids_sha256": lambda encoder, ids, n, decoded: digest(encoder.written(ids)),
+        "decoded_sha256": lambda encoder, ids, n, decoded: digest(decoded),
     }
 
     @F.arrow_udf(", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
@@ -334,12 +350,12 @@ def coder(path: str, pattern: str, outputs: tuple[str, ...]):
                 parts = []
                 for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
                     coded = encoder.encode(part.column("text"))
-                    parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+                    parts.append(pa.StructArray.from_arrays([made[name](encoder, *coded) for name in outputs], list(outputs)))
                     del coded
                     give_back()  # a slice leaves many times its size
                 if not parts:
                     coded = encoder.encode(pa.array([], pa.string()))
-                    parts.append(pa.StructArray.from_arrays([made[name](*coded) for name in outputs], list(outputs)))
+                    parts.append(pa.StructArray.from_arrays([made[name](encoder, *coded) for name in outputs], list(outputs)))
                 yield pa.concat_arrays(parts)
 
     return code

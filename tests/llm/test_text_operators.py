@@ -286,6 +286,36 @@ def test_a_full_table_is_emptied(monkeypatch):
         assert decoded.to_pylist() == [text.encode()]
 
 
+def test_a_full_table_keeps_the_pieces_of_most_slices(monkeypatch):
+    """Words of every slice are encoded once, although rare ones fill the table again and again."""
+    encoder = byte_bpe.Encoder(byte_bpe.Codec(byte_bpe._vocabulary(vocabularies.path(queries.VOCABULARY))), vocabularies.PATTERN)
+    asked, tokens = [], encoder.codec.tokens
+    monkeypatch.setattr(encoder.codec, "tokens", lambda pieces: (asked.extend(pieces.to_pylist()), tokens(pieces))[1])
+    encoder.encode(pa.array([" ".join(f"x{chr(97 + i % 26)}q{chr(97 + i // 26)}z" for i in range(500))]))
+    assert encoder.kept.nbytes / len(encoder.kept) < 80
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", encoder.kept.nbytes)
+    for i in range(12):
+        text = " oftenseen " + " ".join(f"r{chr(97 + i)}q{chr(97 + j % 26)}w{chr(97 + j // 26)}" for j in range(200))
+        _, _, decoded = encoder.encode(pa.array([text]))
+        assert decoded.to_pylist() == [text.encode()] and encoder.kept.nbytes <= byte_bpe.KEPT_BYTES
+    assert asked.count(b" oftenseen") == 1 and len(asked) > len(encoder.kept)
+
+
+def test_long_texts_are_cut_bit_by_bit(monkeypatch):
+    path = vocabularies.path(queries.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    monkeypatch.setattr(byte_bpe, "CUT_CHARS", 9)
+    monkeypatch.setattr(byte_bpe, "CUT_PIECES", 3)
+    monkeypatch.setattr(byte_bpe, "QUERY_BYTES", 8)
+    encoder = byte_bpe.Encoder(byte_bpe.Codec(byte_bpe._vocabulary(path)), vocabularies.PATTERN)
+    for some in (texts(), [], [None], texts()[:20]):
+        ids, n, decoded = encoder.encode(pa.array(some, pa.string()))
+        wanted = [library.encode_ordinary(t or "") for t in some]
+        assert ids.to_pylist() == wanted and n.to_pylist() == list(map(len, wanted))
+        assert encoder.written(ids).to_pylist() == [" ".join(map(str, w)) for w in wanted]
+        assert decoded.to_pylist() == [(t or "").encode() for t in some]
+
+
 def test_pieces_on_both_sides_of_long(monkeypatch):
     """Contracting a rank at a time gives what contracting a pair at a time gives."""
     vocabulary = byte_bpe._vocabulary(vocabularies.path(queries.VOCABULARY))
