@@ -41,7 +41,7 @@ LONG_ROUNDS = 32
 #: Bytes of the pieces of one query.
 QUERY_BYTES = 128 << 10
 #: Bytes of the table of pieces that a worker keeps encoded, and of text that a task holds at once, about.
-KEPT_BYTES, SLICE_BYTES = 32 << 20, 2 << 20
+KEPT_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
 #: Pieces that are strings of Python at once, about; texts of more characters are cut bit by bit.
 CUT_PIECES, CUT_CHARS = 1 << 16, 1 << 20
 
@@ -356,7 +356,8 @@ def coder(path: str, pattern: str, outputs: tuple[str, ...]):
                 if not parts:
                     coded = encoder.encode(pa.array([], pa.string()))
                     parts.append(pa.StructArray.from_arrays([made[name](encoder, *coded) for name in outputs], list(outputs)))
-                yield pa.concat_arrays(parts)
+                parts[:] = [pa.concat_arrays(parts)]
+                yield parts.pop()  # so that nothing made is held twice, or until the next batch
 
     return code
 

@@ -41,6 +41,16 @@ def test_slices_give_memory_back(spark, monkeypatch):
     assert len(backs) == 3
 
 
+def test_what_is_coded_is_held_once(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 1 << 16)
+    code = byte_bpe.coder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, ("ids",))
+    text = " ".join(["one two three"] * 5_000)
+    list(code.func(iter([pa.array([text])])))  # the worker's own tables
+    before, made = pa.total_allocated_bytes(), code.func(iter([pa.array([text] * 100)]))
+    out = next(made)
+    assert out.nbytes > 4_000_000 and pa.total_allocated_bytes() - before < 1.5 * out.nbytes + 100 * len(text)
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, held = docs.columns, [docs.toPandas()]
